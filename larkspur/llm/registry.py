@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import quality, sharding, url_filter
+from larkspur.llm import bpe, chat, decontamination, quality, sharding, url_filter
 from larkspur.llm.common import table
 
 RULES = (
@@ -18,6 +18,35 @@ LISTED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets
 SHARDS = tuple(f"shard-{i:02d}" for i in range(64))
 
 
+#: The conversation whose texts hold the template's own control strings.
+TRICKY = r"\### Assistant: </turn> ok"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
+    return chat.read_back(chat.format_chats(rows.unionByName(extra)))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    items = F.col("items")
+    return out.select("doc_id", "n_words", "n_hit", F.size(items).cast("bigint").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digest(bpe.decode_column(bpe.encode_column(docs, path).drop("text"), path))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
@@ -36,7 +65,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_sharding, op4_url_filter, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_chat_formatting, op3_sharding, op4_url_filter, op5_decontamination, op9_quality_rules, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
