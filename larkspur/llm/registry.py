@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, chat, decontamination, quality, sharding, url_filter
-from larkspur.llm.common import table
+from larkspur.llm import bpe, chat, decontamination, language, quality, sharding, url_filter
+from larkspur.llm.common import fold, table
 
 RULES = (
     url_filter.Rule("block", "com", "/en/"), url_filter.Rule("allow", "example.com", "/en/7"),
@@ -41,6 +41,13 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size(items).cast("bigint").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    fitted = language.fit(docs.where(~held_out))
+    return language.identify(docs.drop("lang").withColumn("held_out", held_out), fitted).drop("text")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -65,7 +72,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op3_sharding, op4_url_filter, op5_decontamination, op9_quality_rules, op10_bpe)}
+    return {f.__name__: f for f in (op1_chat_formatting, op3_sharding, op4_url_filter, op5_decontamination, op7_language_id, op9_quality_rules, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
