@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, chat, decontamination, language, quality, sharding, url_filter
+from larkspur.llm import bpe, chat, decontamination, language, line_dedup, quality, sharding, url_filter
 from larkspur.llm.common import fold, table
 
 RULES = (
@@ -41,6 +41,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size(items).cast("bigint").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", "n_near", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = fold(F.col("doc_id"), 4) == 2
@@ -72,7 +77,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op3_sharding, op4_url_filter, op5_decontamination, op7_language_id, op9_quality_rules, op10_bpe)}
+    return {f.__name__: f for f in (op1_chat_formatting, op3_sharding, op4_url_filter, op5_decontamination, op6_line_dedup, op7_language_id, op9_quality_rules, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -75,7 +75,7 @@ def _block(h: Column, blocks: int) -> Column:
     return F.pmod(h, F.lit(blocks))
 
 
-def _bits(h: Column) -> Column:
+def bits(h: Column) -> Column:
     """A word with BITS bits of the hash set: six bits of it name each."""
     out = F.lit(0).cast("long")
     for i in range(BITS):
@@ -87,7 +87,7 @@ def _bits(h: Column) -> Column:
 def bloom(keys: Column, listed: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     """The blocked filter of a key column: (block, word), one row for each block that has any bit."""
     h = F.xxhash64(keys)
-    return listed.select(_block(h, blocks).alias("_block"), _bits(h).alias("_word")).groupBy("_block").agg(F.bit_or("_word").alias("_word"))
+    return listed.select(_block(h, blocks).alias("_block"), bits(h).alias("_word")).groupBy("_block").agg(F.bit_or("_word").alias("_word"))
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule], *, url: str = "url", listed_url: str = "url", blocks: int = BLOCKS) -> DataFrame:
@@ -103,7 +103,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule], *, url: st
     rows = rows.withColumns({"host": host_of(u), "path": path_of(u), "canonical_url": canonical(u)})
     rows = rows.withColumns({"_rule": rule_for(F.col("host"), F.col("path"), rules), "_h": F.xxhash64("canonical_url")})
     rows = rows.withColumn("_block", _block(F.col("_h"), blocks)).join(F.broadcast(bloom(F.col("_listed"), known, blocks)), "_block", "left")
-    bits = _bits(F.col("_h"))
+    bits = bits(F.col("_h"))
     rows = rows.withColumn("_maybe", F.coalesce(F.col("_word").bitwiseAND(bits) == bits, F.lit(False)) & (F.col("canonical_url") != ""))
     hits = rows.where("_maybe").join(known, F.col("canonical_url") == F.col("_listed"), "left").withColumn("listed", F.col("_listed").isNotNull()).drop("_listed")
     rest = rows.where("NOT _maybe").withColumn("listed", F.lit(False))
