@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, chat, decontamination, language, line_dedup, quality, sharding, url_filter
+from larkspur.llm import bpe, chat, decontamination, language, line_dedup, minhash, quality, sharding, url_filter
 from larkspur.llm.common import fold, table
 
 RULES = (
@@ -59,6 +59,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode_column(bpe.encode_column(docs, path).drop("text"), path))
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
@@ -77,7 +82,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op3_sharding, op4_url_filter, op5_decontamination, op6_line_dedup, op7_language_id, op9_quality_rules, op10_bpe)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_minhash_dedup, op3_sharding, op4_url_filter, op5_decontamination, op6_line_dedup, op7_language_id, op9_quality_rules, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
