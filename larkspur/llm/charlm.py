@@ -12,7 +12,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-START, END = "\x02", "\x03"
+#: Private-use characters, so that no word holds them.
+START, END = "\ue000", "\ue001"
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, chat, decontamination, language, line_dedup, minhash, quality, sharding, url_filter
+from larkspur.llm import bpe, chat, decontamination, hpylm, language, line_dedup, minhash, quality, sharding, url_filter
 from larkspur.llm.common import fold, table
 
 RULES = (
@@ -53,6 +53,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.drop("lang").withColumn("held_out", held_out), fitted).drop("text")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), fold(F.col("doc_id"), 7) == 2)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -82,7 +86,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_minhash_dedup, op3_sharding, op4_url_filter, op5_decontamination, op6_line_dedup, op7_language_id, op9_quality_rules, op10_bpe)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_minhash_dedup, op3_sharding, op4_url_filter, op5_decontamination, op6_line_dedup, op7_language_id, op8_lm_scoring, op9_quality_rules, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
