@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("larkspur.operators.market",)
+MODULES = ("larkspur.operators.market", "larkspur.operators.names")
 
 
 def queries() -> dict:
