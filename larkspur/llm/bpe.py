@@ -28,7 +28,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Up to here the Unicode tables of all libraries agree on letters, numbers and white space.
 _PLAIN = regex.compile(r"[\x00-ɏ]*")
 #: Remembered words in each of two generations, at most; each takes some 250 bytes.
-MEMORY = 300_000
+MEMORY = 150_000
 _NONE = -1
 
 
@@ -138,7 +138,7 @@ class ByteBPE:
                 limit, right = right + 1, self.parts[right][0]
             else:
                 break
-        if len(self.compatible) > 4 * MEMORY:
+        if len(self.compatible) > 2 * MEMORY:
             self.compatible.clear()
         self.compatible[key] = out
         return out
@@ -280,6 +280,21 @@ def decode(ids: Column, path: str) -> Column:
     return text(ids)
 
 
+def round_trip(text: Column, path: str) -> Column:
+    """struct(token_ids, decoded): what encode() gives, and what decode() gives for that, by one worker."""
+
+    @F.arrow_udf("struct<token_ids:binary,decoded:string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bpe = built(path)
+        chunks = Memory()
+        for batch in batches:
+            ids = [bpe.encode(x.as_py() or "", chunks) for x in batch]
+            texts = pa.array([bpe.decode(x) for x in ids], pa.binary()).cast(pa.string())
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), texts], ["token_ids", "decoded"])
+
+    return both(text)
+
+
 def encode_column(df: DataFrame, path: str, *, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """df with the ids of each whole text; a column of that name is replaced. Nothing is shuffled, no row is dropped."""
     return df.withColumn(ids, encode(F.col(f"`{text}`"), path))

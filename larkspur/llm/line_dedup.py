@@ -38,11 +38,14 @@ def lines_of(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return rows.where(F.col("line").rlike(_BLANK))
 
 
-def keyed(lines: DataFrame) -> DataFrame:
-    """id, n, a and b (a 128-bit hash of the line) and h0 to h3 (hashes of halves) of each line; no text.
+def _hashes() -> list[Column]:
+    return [F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(1)).alias("b")]
 
-    For lengths n and n, or n and n + 1, one edit leaves the first n // 2 or the last n - n // 2 characters as they are. So
-    the halves are hashed as a line of its length has them, and as the longer of two lines whose lengths differ by one.
+
+def _halves() -> Column:
+    """Hashes of a line's halves as a line of its length, and as the longer of two lines whose lengths differ by one.
+
+    For lengths n and n, or n and n + 1, one edit leaves the first n // 2 or the last n - n // 2 characters as they are.
     """
     n, line = F.length("line"), F.col("line")
 
@@ -50,7 +53,15 @@ def keyed(lines: DataFrame) -> DataFrame:
         k = (m / 2).cast("int")
         return [F.xxhash64(F.substring(line, F.lit(1), k), m, F.lit(0)), F.xxhash64(F.substring(line, n - (m - k) + 1, m - k), m, F.lit(1))]
 
-    return lines.select("id", "n", F.xxhash64(line).alias("a"), F.xxhash64(line, F.lit(1)).alias("b"), *[h.alias(f"h{i}") for i, h in enumerate([*halves(n), *halves(n - 1)])])
+    return F.array(*halves(n), *halves(n - 1))
+
+
+def _maybe(rows: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
+    """The rows whose key may be among keys' column of that name: a filter of bounded size, before an exact join."""
+    h = F.xxhash64(key)
+    table = F.broadcast(bloom(F.col(name), keys, BLOCKS))
+    hit = rows.withColumn("_block", F.pmod(h, F.lit(BLOCKS))).join(table, "_block", "left").withColumn("_hit", F.coalesce(F.col("_word").bitwiseAND(bits(h)) == bits(h), F.lit(False)))
+    return hit.drop("_block", "_word")
 
 
 def _neighbourhood(line: str) -> tuple[np.ndarray, np.ndarray]:
@@ -102,15 +113,14 @@ def _variant_rows(batch: pa.RecordBatch, held: list[tuple[np.ndarray, np.ndarray
     return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(kinds, pa.int32()), *(batch[c].take(rows) for c in ("id", "n", "a", "b"))], names=["key", "kind", "id", "n", "a", "b"])
 
 
-def _near(first: DataFrame, lines: DataFrame) -> DataFrame:
-    """(a, b) of distinct lines that have an earlier line one edit away. first: id, n, a, b, h0 to h3 of each distinct line."""
-    halves = first.select("a", "b", "id", "n", F.explode(F.array("h0", "h1", "h2", "h3")).alias("half"))
-    shared = halves.groupBy("half").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi").select("half")
-    able = written(halves.join(shared, "half", "left_semi").select("a", "b", "id", "n").distinct(), "able")
-    # the texts of these lines: a bounded filter lets few others through to the exact join
-    hashed = lines.withColumn("_h", F.xxhash64(F.xxhash64("line"))).withColumn("_block", F.pmod("_h", F.lit(BLOCKS)))
-    maybe = hashed.join(F.broadcast(bloom(F.col("a"), able, BLOCKS)), "_block").where(F.col("_word").bitwiseAND(bits(F.col("_h"))) == bits(F.col("_h")))
-    near = written(able.join(maybe.select("id", "n", "line"), ["id", "n"]), "lines")
+def _near(lines: DataFrame) -> DataFrame:
+    """(a, b) of distinct lines that have an earlier line one edit away."""
+    hashed = lines.select("id", "n", *_hashes(), "line", _halves().alias("halves"))
+    shared = hashed.select("a", F.explode("halves").alias("half")).groupBy("half").agg(F.min("a").alias("lo"), F.max("a").alias("hi"))
+    shared = written(shared.where("lo <> hi").select("half"), "halves")
+    half = _maybe(hashed.select("id", "n", "a", "b", "line", F.explode("halves").alias("half")), F.col("half"), shared, "half").where("_hit")
+    able = half.join(shared, "half", "left_semi").groupBy("a", "b").agg(F.min(F.struct("id", "n", "line")).alias("at"))
+    near = written(able.select("a", "b", "at.*"), "lines")
     place = F.struct("id", "n", "a", "b")
     keys = near.mapInArrow(_emit, _VARIANTS).groupBy("key", "kind").agg(F.min(place).alias("least"), F.count("*").alias("size"))
     keys = keys.groupBy("key").agg(
@@ -120,7 +130,8 @@ def _near(first: DataFrame, lines: DataFrame) -> DataFrame:
     keys = written(keys.where("opened > 1 OR deletion IS NOT NULL AND line IS NOT NULL"), "keys")
     # what each line has met that stands before it
     met = F.expr("CASE kind WHEN 0 THEN open WHEN 1 THEN line ELSE deletion END")
-    pairs = near.mapInArrow(_emit, _VARIANTS).join(keys, "key").withColumn("met", met).where("met < struct(id, n, a, b)")
+    mine = _maybe(near.mapInArrow(_emit, _VARIANTS), F.col("key"), keys, "key").where("_hit").drop("_hit")
+    pairs = mine.join(keys, "key").withColumn("met", met).where("met < struct(id, n, a, b)")
     pairs = pairs.select("a", "b", F.col("met.a").alias("met_a"), F.col("met.b").alias("met_b")).distinct()
     texts = near.select("a", "b", "line")
     both = pairs.join(texts, ["a", "b"]).join(texts.select(F.col("a").alias("met_a"), F.col("b").alias("met_b"), F.col("line").alias("met")), ["met_a", "met_b"])
@@ -128,20 +139,22 @@ def _near(first: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", max_edits: int = 1) -> DataFrame:
-    """(id, n, near) of every line that goes: n counts lines from 0; near says that an earlier line is one edit away."""
+    """(id, n, near) of every line that goes: n counts lines from 0; near says that an earlier line is one edit away.
+
+    Texts are read again for each step rather than shuffled; what is shuffled are hashes and places.
+    """
     if max_edits not in (0, 1):
         raise ValueError("max_edits must be 0 or 1")
     lines = lines_of(docs, text, doc_id)
-    keys = keyed(lines)
-    first = keys.groupBy("a", "b").agg(F.min(F.struct("id", "n")).alias("at"), F.count("*").alias("copies"), *[F.min(f"h{i}").alias(f"h{i}") for i in range(4)])
-    first = written(first.select("a", "b", "at.id", "at.n", "copies", "h0", "h1", "h2", "h3"), "distinct")
+    keys = lines.select("id", "n", *_hashes())
+    copies = keys.groupBy("a", "b").agg(F.min(F.struct("id", "n")).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("a", "b", "first")
+    gone = copies.withColumn("near", F.lit(False))
     if max_edits:
-        near = _near(first, lines).withColumn("near", F.lit(True))
-        marked = first.select("a", "b", "id", "n", "copies").join(near, ["a", "b"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
-    else:
-        marked = first.withColumn("near", F.lit(False))
-    gone = marked.where("copies > 1 OR near").select("a", "b", F.col("id").alias("first_id"), F.col("n").alias("first_n"), "near")
-    return keys.select("id", "n", "a", "b").join(gone, ["a", "b"]).where("near OR id <> first_id OR n <> first_n").select("id", "n", "near")
+        gone = gone.unionByName(_near(lines).withColumn("near", F.lit(True)), allowMissingColumns=True)
+        gone = gone.groupBy("a", "b").agg(F.min("first").alias("first"), F.bool_or("near").alias("near"))
+    gone = written(gone, "gone")
+    mine = _maybe(keys, F.col("a"), gone, "a").where("_hit").drop("_hit").join(gone, ["a", "b"])
+    return mine.where("near OR id <> first.id OR n <> first.n").select("id", "n", "near")
 
 
 def dedup_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", max_edits: int = 1) -> DataFrame:
@@ -152,8 +165,10 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     can't tie otherwise. Columns of docs with these names, or starting with `_`, are replaced.
     """
     drops = dropped_lines(docs.where(F.col(f"`{doc_id}`").isNotNull()), text=text, doc_id=doc_id, max_edits=max_edits)
-    drops = drops.groupBy(F.col("id").alias("_id")).agg(F.collect_list("n").alias("_gone"), F.sum(F.col("near").cast("bigint")).alias("_near"))
-    rows = docs.drop("n_lines", "n_dropped", "n_near").join(drops, F.col(f"`{doc_id}`") == F.col("_id"), "left")
+    drops = written(drops.groupBy(F.col("id").alias("_id")).agg(F.collect_list("n").alias("_gone"), F.sum(F.col("near").cast("bigint")).alias("_near")), "drops")
+    key = F.col(f"`{doc_id}`")
+    rows = _maybe(docs.drop("n_lines", "n_dropped", "n_near"), key, drops, "_id")
+    rows = rows.where("_hit").join(drops, key == F.col("_id"), "left").unionByName(rows.where("NOT _hit"), allowMissingColumns=True).drop("_hit")
     t, split = F.col(f"`{text}`"), F.split(F.col(f"`{text}`"), "\n")
     rows = rows.withColumn("n_lines", F.coalesce(F.size(F.filter(split, lambda x: x.rlike(_BLANK))), F.lit(0)).cast("bigint"))
     # a line's number becomes null where it goes; a set operation, so long lists cost no more than their length

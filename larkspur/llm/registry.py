@@ -60,7 +60,7 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.digest(bpe.decode_column(bpe.encode_column(docs, path).drop("text"), path))
+    return bpe.digest(docs.select("doc_id", bpe.round_trip(F.col("text"), path).alias("_both")).select("doc_id", "_both.*"))
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

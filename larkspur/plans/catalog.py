@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("larkspur.operators.market", "larkspur.operators.names")
+MODULES = ("larkspur.operators.market", "larkspur.operators.names", "larkspur.operators.history", "larkspur.operators.relations")
 
 
 def queries() -> dict:
