@@ -103,8 +103,8 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule], *, url: st
     rows = rows.withColumns({"host": host_of(u), "path": path_of(u), "canonical_url": canonical(u)})
     rows = rows.withColumns({"_rule": rule_for(F.col("host"), F.col("path"), rules), "_h": F.xxhash64("canonical_url")})
     rows = rows.withColumn("_block", _block(F.col("_h"), blocks)).join(F.broadcast(bloom(F.col("_listed"), known, blocks)), "_block", "left")
-    bits = bits(F.col("_h"))
-    rows = rows.withColumn("_maybe", F.coalesce(F.col("_word").bitwiseAND(bits) == bits, F.lit(False)) & (F.col("canonical_url") != ""))
+    wanted = bits(F.col("_h"))
+    rows = rows.withColumn("_maybe", F.coalesce(F.col("_word").bitwiseAND(wanted) == wanted, F.lit(False)) & (F.col("canonical_url") != ""))
     hits = rows.where("_maybe").join(known, F.col("canonical_url") == F.col("_listed"), "left").withColumn("listed", F.col("_listed").isNotNull()).drop("_listed")
     rest = rows.where("NOT _maybe").withColumn("listed", F.lit(False))
     out = hits.unionByName(rest)
