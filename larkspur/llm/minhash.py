@@ -8,10 +8,11 @@ documents agree on a coordinate with the probability of their weighted Jaccard s
 thrown (about k ln k darts whatever the length); where a coordinate stays empty the limit is doubled.
 
 Equal word sequences are one class from the start and one of them represents it, so copies are never paired. The
-representatives' signatures are cut into bands; a bucket of equal bands links each member to the bucket's first member, and
-in later rounds to the first member of other classes that are still in the bucket, so a bucket gives as many candidates as
-it has members, not as many as it has pairs. Candidates are verified by the exact Jaccard similarity of their shingle sets;
-classes are the connected components of the verified links, found by alternating large and small stars.
+representatives' signatures are cut into bands; a bucket of equal bands links each member to the bucket's first member.
+Candidates are verified by the exact Jaccard similarity of their shingle sets; classes are the connected components of the
+verified links, found by alternating large and small stars. Most buckets are then of one class and need nothing more. In
+the others, growing shares of the members are pivots in turn, and pivots meet the members of other classes whose sizes
+allow the similarity. In the end every two members of a bucket are of one class or have met, so no link is lost.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.charlm import mix
@@ -30,10 +31,11 @@ from larkspur.llm.url_filter import bits, bloom
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
-#: Rounds of linking bucket members to a first member.
-ROUNDS = 3
+#: Shares of the members of buckets of several classes that have been pivots after each round; the last must be 1.
+SHARES = (1 / 64, 1 / 8, 1.0)
 #: Bytes of text that are hashed at a time, about.
 CHUNK = 1 << 20
+_TURNS = 1 << 20
 #: Blocks of the filter that fetches candidates' texts, 64 bits each.
 BLOCKS = 1 << 18
 _ODD = np.uint64(0xD1342543DE82EF95)
@@ -164,7 +166,7 @@ def _fingerprint(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.array([[x >> 64, x & 0xFFFFFFFFFFFFFFFF] for x in (xxhash.xxh3_128_intdigest(hashes[e - c : e].tobytes()) for e, c in zip(ends, counts, strict=True))], np.uint64).reshape(-1, 2).view(np.int64)
 
 
-_SIGNED = "id bigint, fa bigint, fb bigint, bands array<bigint>"
+_SIGNED = "id bigint, fa bigint, fb bigint, size int, bands array<bigint>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +185,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             has = counts > 0
             offsets = np.concatenate([[0], np.cumsum(has * BANDS)])
             print_ = _fingerprint(hashes, counts)
-            yield pa.RecordBatch.from_arrays([part["id"], pa.array(print_[:, 0]), pa.array(print_[:, 1]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(band[has].ravel()))], names=["id", "fa", "fb", "bands"])
+            size = pa.array(np.bincount(text, minlength=b - a), pa.int32())
+            yield pa.RecordBatch.from_arrays([part["id"], pa.array(print_[:, 0]), pa.array(print_[:, 1]), size, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(band[has].ravel()))], names=["id", "fa", "fb", "size", "bands"])
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,6 +240,11 @@ def components(edges: DataFrame) -> DataFrame:
         now = written(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).distinct(), "edges")
 
 
+def _sizes_allow(a: Column, b: Column, similarity: float) -> Column:
+    """Whether sets of these sizes can be similar enough: their Jaccard similarity is the ratio of the sizes at most."""
+    return F.least(a, b) >= F.greatest(a, b) * similarity - 1e-6
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id) of every distinct non-null doc_id; class_id is the least doc_id of its class.
 
@@ -248,32 +256,30 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     signed = written(rows.mapInArrow(_sign, _SIGNED), "signed")
     copies = signed.groupBy("fa", "fb").agg(F.min("id").alias("rep"))
     members = written(signed.select("id", "fa", "fb").join(copies, ["fa", "fb"]).select("id", "rep"), "members")
-    banded = written(signed.join(copies, ["fa", "fb"]).where("id = rep").select("id", F.explode("bands").alias("key")).distinct(), "banded")
-    shared = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1").select("key", "first")
+    banded = written(signed.join(copies, ["fa", "fb"]).where("id = rep").select("id", "size", F.explode("bands").alias("key")).distinct(), "banded")
+    shared = banded.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "size")).alias("first")).where("n > 1").select("key", "first")
     buckets = written(banded.join(shared, "key"), "buckets")
     # several texts under one id
     edges = members.groupBy("id").agg(F.max("rep").alias("u"), F.min("rep").alias("v")).where("u <> v").select("u", "v")
-    pairs = written(buckets.where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v")).distinct(), "pairs")
+    near = _sizes_allow(F.col("size"), F.col("first.size"), similarity)
+    pairs = written(buckets.where((F.col("id") != F.col("first.id")) & near).select(F.col("id").alias("u"), F.col("first.id").alias("v")).distinct(), "pairs")
     edges = written(edges.union(_verified(pairs, rows, similarity)), "links")
     classes = written(components(edges), "classes")
-    for _ in range(ROUNDS - 1):
-        # buckets in which some members aren't of the first one's class: link all others to the first of these
-        of = buckets.join(classes, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    before = 0
+    for share in SHARES:
+        upto = int(share * _TURNS)
+        of = buckets.join(classes, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("component"), F.pmod(F.xxhash64("id"), F.lit(_TURNS)).alias("turn"))
         mixed = of.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        of = written(of.join(mixed, "key", "left_semi"), "mixed")
-        heads = of.groupBy("key", "component").agg(F.min("id").alias("head"))
-        ranked = heads.groupBy("key").agg(F.min(F.struct("component", "head")).alias("one"))
-        second = heads.join(ranked, "key").where("component <> one.component").groupBy("key").agg(F.min(F.struct("component", "head")).alias("two"))
-        new = of.join(second, "key").where("component <> two.component").select(F.greatest("id", "two.head").alias("u"), F.least("id", "two.head").alias("v")).distinct()
-        new = written(new.join(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti"), "pairs")
-        if new.isEmpty():
-            break
-        found = written(_verified(new, rows, similarity), "links")
-        pairs = pairs.union(new)
-        if found.isEmpty():
-            break
-        edges = edges.union(found)
-        classes = written(components(edges), "classes")
+        of = written(of.where(F.col("turn") >= before).join(mixed, "key", "left_semi"), "mixed")
+        pivots = of.where(F.col("turn") < upto).toDF("key", "p", "p_size", "p_component", "p_turn").drop("p_turn")
+        meet = pivots.join(of, "key").where((F.col("component") != F.col("p_component")) & ((F.col("turn") >= upto) | (F.col("id") > F.col("p"))) & _sizes_allow(F.col("size"), F.col("p_size"), similarity))
+        new = meet.select(F.greatest("id", "p").alias("u"), F.least("id", "p").alias("v")).distinct()
+        new = written(new.join(pairs, ["u", "v"], "left_anti"), "pairs")
+        before = upto
+        if not new.isEmpty():
+            pairs = pairs.union(new)
+            edges = edges.union(written(_verified(new, rows, similarity), "links"))
+            classes = written(components(edges), "classes")
     out = members.join(classes.select(F.col("id").alias("rep"), "component"), "rep", "left")
     return out.groupBy(F.col("id").alias("doc_id")).agg(F.min(F.coalesce("component", "rep")).alias("class_id"))
 
