@@ -119,7 +119,8 @@ def _near(lines: DataFrame) -> DataFrame:
     shared = hashed.select("a", F.explode("halves").alias("half")).groupBy("half").agg(F.min("a").alias("lo"), F.max("a").alias("hi"))
     shared = written(shared.where("lo <> hi").select("half"), "halves")
     half = _maybe(hashed.select("id", "n", "a", "b", "line", F.explode("halves").alias("half")), F.col("half"), shared, "half").where("_hit")
-    able = half.join(shared, "half", "left_semi").groupBy("a", "b").agg(F.min(F.struct("id", "n", "line")).alias("at"))
+    # an inner join: a semi join would be moved below the filter, and all lines would be shuffled
+    able = half.join(shared, "half").groupBy("a", "b").agg(F.min(F.struct("id", "n", "line")).alias("at"))
     near = written(able.select("a", "b", "at.*"), "lines")
     place = F.struct("id", "n", "a", "b")
     keys = near.mapInArrow(_emit, _VARIANTS).groupBy("key", "kind").agg(F.min(place).alias("least"), F.count("*").alias("size"))
