@@ -8,11 +8,12 @@ documents agree on a coordinate with the probability of their weighted Jaccard s
 thrown (about k ln k darts whatever the length); where a coordinate stays empty the limit is doubled.
 
 Equal word sequences are one class from the start and one of them represents it, so copies are never paired. The
-representatives' signatures are cut into bands; a bucket of equal bands links each member to the bucket's first member.
-Candidates are verified by the exact Jaccard similarity of their shingle sets; classes are the connected components of the
-verified links, found by alternating large and small stars. Most buckets are then of one class and need nothing more. In
-the others, growing shares of the members are pivots in turn, and pivots meet the members of other classes whose sizes
-allow the similarity. In the end every two members of a bucket are of one class or have met, so no link is lost.
+representatives' signatures are cut into bands; a bucket of equal bands links each member to the bucket's first member, the
+one that meets most others in all its buckets. Candidates are verified by the exact Jaccard similarity of their shingle
+sets; classes are the connected components of the verified links, found by alternating large and small stars. Most buckets
+are then of one class and need nothing more. In the others, growing shares of the members are pivots in turn. They meet
+the members of other classes, but for those that can't be similar enough by bounds that hold for any sets: their sizes, and
+the shingles that maps of hashed shingles (`MARKS` bits) show only one of them to have. So no link within a bucket is lost.
 """
 
 from __future__ import annotations
@@ -32,10 +33,12 @@ from larkspur.llm.url_filter import bits, bloom
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Shares of the members of buckets of several classes that have been pivots after each round; the last must be 1.
-SHARES = (1 / 64, 1 / 8, 1.0)
+SHARES = (1 / 16, 1.0)
 #: Bytes of text that are hashed at a time, about.
 CHUNK = 1 << 20
 _TURNS = 1 << 20
+#: Bits of the map of a text's hashed shingles.
+MARKS = 1024
 #: Blocks of the filter that fetches candidates' texts, 64 bits each.
 BLOCKS = 1 << 18
 _ODD = np.uint64(0xD1342543DE82EF95)
@@ -166,7 +169,15 @@ def _fingerprint(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.array([[x >> 64, x & 0xFFFFFFFFFFFFFFFF] for x in (xxhash.xxh3_128_intdigest(hashes[e - c : e].tobytes()) for e, c in zip(ends, counts, strict=True))], np.uint64).reshape(-1, 2).view(np.int64)
 
 
-_SIGNED = "id bigint, fa bigint, fb bigint, size int, bands array<bigint>"
+def _marks(keys: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """A map of MARKS bits for each text, with the bits of its hashed shingles."""
+    out = np.zeros((n, MARKS // 64), np.uint64)
+    cell = mix(keys, np.uint64(0xB17)) % np.uint64(MARKS)
+    np.bitwise_or.at(out, (text, (cell >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (cell & np.uint64(63)))
+    return out.view(np.int64)
+
+
+_SIGNED = "id bigint, fa bigint, fb bigint, size int, marks array<bigint>, bands array<bigint>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +197,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             offsets = np.concatenate([[0], np.cumsum(has * BANDS)])
             print_ = _fingerprint(hashes, counts)
             size = pa.array(np.bincount(text, minlength=b - a), pa.int32())
-            yield pa.RecordBatch.from_arrays([part["id"], pa.array(print_[:, 0]), pa.array(print_[:, 1]), size, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(band[has].ravel()))], names=["id", "fa", "fb", "size", "bands"])
+            marks = pa.FixedSizeListArray.from_arrays(pa.array(_marks(keys, text, b - a).ravel()), MARKS // 64).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part["id"], pa.array(print_[:, 0]), pa.array(print_[:, 1]), size, marks, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(band[has].ravel()))], names=["id", "fa", "fb", "size", "marks", "bands"])
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,15 +221,16 @@ def _jaccard(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array(out, pa.float64())
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose shingle sets are similar enough. docs: id, text, one row an id."""
+def _compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (u, v) with the exact Jaccard similarity of their shingle sets. docs: id, text, one row an id."""
     wanted = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+    # an inner join: a semi join would be moved below the filter, and all texts would be shuffled
     h = F.xxhash64("id")
     maybe = docs.withColumn("_block", F.pmod(h, F.lit(BLOCKS))).join(F.broadcast(bloom(F.col("id"), wanted, BLOCKS)), "_block").where(F.col("_word").bitwiseAND(bits(h)) == bits(h))
-    sets = written(maybe.select("id", "text").join(wanted, "id", "left_semi").mapInArrow(_shingle_sets, "id bigint, shingles binary"), "shingles")
+    sets = written(maybe.select("id", "text").join(wanted, "id").mapInArrow(_shingle_sets, "id bigint, shingles binary"), "shingles")
     alike = F.arrow_udf(_jaccard, "double")
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("_u")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("_v")), "v")
-    return both.where(alike("_u", "_v") >= similarity).select("u", "v")
+    return written(both.select("u", "v", alike("_u", "_v").alias("similarity")), "compared")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -240,9 +253,14 @@ def components(edges: DataFrame) -> DataFrame:
         now = written(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).distinct(), "edges")
 
 
-def _sizes_allow(a: Column, b: Column, similarity: float) -> Column:
-    """Whether sets of these sizes can be similar enough: their Jaccard similarity is the ratio of the sizes at most."""
-    return F.least(a, b) >= F.greatest(a, b) * similarity - 1e-6
+def _allowed(a: Column, b: Column, a_marks: Column, b_marks: Column, similarity: float) -> Column:
+    """Whether sets of these sizes and marks can be similar enough.
+
+    Similar sets have at most the share (1 - similarity) / (1 + similarity) of both sizes in one of them only; a bit that
+    is set in one map only is a shingle of that kind.
+    """
+    alone = sum((F.bit_count(F.get(a_marks, i).bitwiseXOR(F.get(b_marks, i))) for i in range(MARKS // 64)), F.lit(0))
+    return (F.least(a, b) >= F.greatest(a, b) * similarity - 1e-6) & (alone <= (a + b) * ((1 - similarity) / (1 + similarity)) + 1e-6)
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -257,28 +275,34 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     copies = signed.groupBy("fa", "fb").agg(F.min("id").alias("rep"))
     members = written(signed.select("id", "fa", "fb").join(copies, ["fa", "fb"]).select("id", "rep"), "members")
     banded = written(signed.join(copies, ["fa", "fb"]).where("id = rep").select("id", "size", F.explode("bands").alias("key")).distinct(), "banded")
-    shared = banded.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "size")).alias("first")).where("n > 1").select("key", "first")
-    buckets = written(banded.join(shared, "key"), "buckets")
+    crowded = written(banded.join(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "crowded")
+    # what others were copied from meets more of them than they meet each other, so it is a better first member
+    met = crowded.groupBy("id").agg(F.sum("n").alias("met"))
+    crowded = crowded.join(met, "id").select("key", "id", "size", "met")
+    first = crowded.groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("least"), "id", "size")).alias("first"))
+    buckets = written(crowded.select("key", "id", "size").join(first, "key"), "buckets")
     # several texts under one id
     edges = members.groupBy("id").agg(F.max("rep").alias("u"), F.min("rep").alias("v")).where("u <> v").select("u", "v")
-    near = _sizes_allow(F.col("size"), F.col("first.size"), similarity)
-    pairs = written(buckets.where((F.col("id") != F.col("first.id")) & near).select(F.col("id").alias("u"), F.col("first.id").alias("v")).distinct(), "pairs")
-    edges = written(edges.union(_verified(pairs, rows, similarity)), "links")
+    pair = [F.greatest("id", "first.id").alias("u"), F.least("id", "first.id").alias("v")]
+    pairs = written(buckets.where(F.col("id") != F.col("first.id")).select(*pair).distinct(), "pairs")
+    compared = _compared(pairs, rows)
+    edges = written(edges.union(compared.where(F.col("similarity") >= similarity).select("u", "v")), "links")
     classes = written(components(edges), "classes")
     before = 0
     for share in SHARES:
         upto = int(share * _TURNS)
         of = buckets.join(classes, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("component"), F.pmod(F.xxhash64("id"), F.lit(_TURNS)).alias("turn"))
         mixed = of.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        of = written(of.where(F.col("turn") >= before).join(mixed, "key", "left_semi"), "mixed")
-        pivots = of.where(F.col("turn") < upto).toDF("key", "p", "p_size", "p_component", "p_turn").drop("p_turn")
-        meet = pivots.join(of, "key").where((F.col("component") != F.col("p_component")) & ((F.col("turn") >= upto) | (F.col("id") > F.col("p"))) & _sizes_allow(F.col("size"), F.col("p_size"), similarity))
-        new = meet.select(F.greatest("id", "p").alias("u"), F.least("id", "p").alias("v")).distinct()
+        of = written(of.where(F.col("turn") >= before).join(mixed, "key", "left_semi").join(signed.select("id", "marks"), "id").dropDuplicates(["key", "id"]), "mixed")
+        pivots = of.where(F.col("turn") < upto).toDF("p", "key", "p_size", "p_component", "p_turn", "p_marks").drop("p_turn")
+        other = (F.col("component") != F.col("p_component")) & ((F.col("turn") >= upto) | (F.col("id") > F.col("p")))
+        can = _allowed(F.col("size"), F.col("p_size"), F.col("marks"), F.col("p_marks"), similarity)
+        new = pivots.join(of, "key").where(other & can).select(F.greatest("id", "p").alias("u"), F.least("id", "p").alias("v")).distinct()
         new = written(new.join(pairs, ["u", "v"], "left_anti"), "pairs")
         before = upto
         if not new.isEmpty():
             pairs = pairs.union(new)
-            edges = edges.union(written(_verified(new, rows, similarity), "links"))
+            edges = edges.union(_compared(new, rows).where(F.col("similarity") >= similarity).select("u", "v"))
             classes = written(components(edges), "classes")
     out = members.join(classes.select(F.col("id").alias("rep"), "component"), "rep", "left")
     return out.groupBy(F.col("id").alias("doc_id")).agg(F.min(F.coalesce("component", "rep")).alias("class_id"))
