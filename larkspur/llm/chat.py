@@ -28,7 +28,7 @@ TRAINED = "assistant"
 BLOCK_BYTES = 4 << 20
 BLOCKS = "conv_id bigint, block bigint, formatted string, turns int, loss_start array<int>, loss_end array<int>"
 _KIND = pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("formatted", pa.string()), ("turns", pa.int32()), ("loss_start", pa.list_(pa.int32())), ("loss_end", pa.list_(pa.int32()))])
-_TURN = regex.compile(r"### ((?:[^\\:]|\\.)*+): ((?:[^\\<]|\\.|<(?!/turn>))*+)(?<= )</turn>\n", regex.DOTALL)
+_ROLE = regex.compile(r"### ((?:[^\\:]+|\\.)*+): ", regex.DOTALL)
 _ESCAPED = regex.compile(r"\\(.)", regex.DOTALL)
 
 
@@ -145,12 +145,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = row["formatted"]
             place = 0
             while place < len(text):
-                turn = _TURN.match(text, place)
-                if turn is None:
+                role = _ROLE.match(text, place)
+                # inside a text a backslash stands before every </turn>, so the first one after a space closes it
+                end = text.find(CLOSE, role.end()) if role else -1
+                if end < 0:
                     raise ValueError("a formatted conversation can't be read back")
                 state[0] += 1
-                state[1].update(f"{unescape(turn[1])}\n{unescape(turn[2][:-1])}\n".encode())
-                place = turn.end()
+                state[1].update(f"{unescape(role[1])}\n{unescape(text[role.end():end])}\n".encode())
+                place = end + len(CLOSE)
             for a, b in zip(row["loss_start"], row["loss_end"], strict=True):
                 plain = unescape(text[a:b])
                 state[2] += len(plain)

@@ -93,7 +93,7 @@ def _weighted(keys: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarra
     order = np.argsort(keys, kind="stable")
     order = order[np.argsort(text[order].astype(np.uint16), kind="stable")]
     k, t = keys[order], text[order]
-    first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (t[1:] != t[:-1])]))
+    first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (t[1:] != t[:-1])])[: len(k)])
     return k[first], t[first], np.diff(np.append(first, len(k)))
 
 

@@ -1 +1,72 @@
-ORACLES: dict[str, str] = {}
+"""DuckDB SQL for the queries that SQL can express; the others are held against brute force in tests/llm."""
+
+from __future__ import annotations
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _escaped(column: str) -> str:
+    return rf"replace(replace(replace({column}, '\', '\\'), '###', '\###'), '</turn>', '\</turn>')"
+
+
+OP1 = rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(4 + length(replace({_escaped('role')}, ':', '\:')) + 2 + length({_escaped('text')}) + 9) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id"""
+
+
+def op3(shards: tuple[str, ...]) -> str:
+    """The filled table is a list in the text; it is held against a slot-by-slot filling in the tests."""
+    from larkspur.llm.sharding import fill_table, next_prime
+
+    size = next_prime(100 * len(shards))
+    slots = [shards[i] for i in fill_table(shards, size)]
+    return f"""
+WITH filled AS (SELECT unnest(range({size})) AS slot, unnest({slots}) AS shard),
+placed AS (SELECT doc_id, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {size} AS INTEGER) AS slot FROM documents)
+SELECT slot, doc_id, shard FROM placed JOIN filled USING (slot)"""
+
+
+def op4(rules, listed: tuple[str, ...]) -> str:
+    ordered = sorted(rules, key=lambda r: -len(r.text))
+    fits = [f"(host = '{r.host}' OR host LIKE '%.{r.host}') AND starts_with(path, '{r.path}')" for r in ordered]
+    rule = "CASE " + " ".join(f"WHEN {c} THEN '{r.text}'" for c, r in zip(fits, ordered, strict=True)) + " END"
+    action = "CASE " + " ".join(f"WHEN {c} THEN '{r.action}'" for c, r in zip(fits, ordered, strict=True)) + " END"
+    return rf"""
+WITH parts AS (
+  SELECT page_id, contains(coalesce(url, ''), '://') AS has,
+    CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') ELSE '' END AS host,
+    CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path,
+    list_sort(list_filter(string_split(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|gclid|fbclid)='))) AS query
+  FROM pages),
+whole AS (
+  SELECT *, CASE WHEN has THEN regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '')
+    || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END ELSE '' END AS canonical_url FROM parts),
+list AS (
+  SELECT DISTINCT canonical_url FROM whole
+  WHERE canonical_url <> '' AND regexp_extract(host, '^(?:www\.|m\.|blog\.)?([^.]*)', 1) IN {listed})
+SELECT page_id, host, path, {rule} AS rule,
+  coalesce({action}, CASE WHEN canonical_url IN (SELECT canonical_url FROM list) THEN 'block' ELSE 'allow' END) AS verdict,
+  canonical_url, canonical_url IN (SELECT canonical_url FROM list) AS listed
+FROM whole"""
+
+
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP5 = rf"""
+WITH items AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+starts AS (SELECT item, w, least(len(w), 13) AS n, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS i FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, n, array_to_string(w[i : i + n - 1], ' ') AS part FROM starts),
+words AS (SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS w FROM documents),
+places AS (SELECT row, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words CROSS JOIN (SELECT DISTINCT n FROM windows) WHERE len(w) >= n),
+found AS (SELECT p.row, p.i, p.n, x.item FROM (SELECT row, i, n, array_to_string(w[i : i + n - 1], ' ') AS part FROM places) p JOIN windows x USING (n, part)),
+hits AS (SELECT row, count(DISTINCT place) AS n_hit FROM (SELECT row, unnest(range(i, i + n)) AS place FROM found) GROUP BY row),
+named AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item FROM found) GROUP BY row)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM words LEFT JOIN hits USING (row) LEFT JOIN named USING (row)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, chat, decontamination, hpylm, language, line_dedup, minhash, quality, sharding, url_filter
+from larkspur.llm import bpe, chat, decontamination, hpylm, language, line_dedup, minhash, oracles, quality, sharding, url_filter
 from larkspur.llm.common import fold, table
 
 RULES = (
@@ -90,6 +90,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from larkspur.llm.oracles import ORACLES
-
-    return ORACLES
+    """For the others SQL has no hashed signatures, trained models, xxhash64 or byte-pair merges, or is too slow."""
+    return {"op1_chat_formatting": oracles.OP1, "op3_sharding": oracles.op3(SHARDS), "op4_url_filter": oracles.op4(RULES, LISTED_LABELS), "op5_decontamination": oracles.OP5}
