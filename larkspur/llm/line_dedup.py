@@ -29,6 +29,8 @@ from larkspur.llm.url_filter import bits, bloom
 #: Blocks of the filter that fetches texts, 64 bits each.
 BLOCKS = 1 << 18
 _BLANK = r"\S"
+#: Matches once in each line that has a visible character.
+_VISIBLE = r"\S[^\n]*"
 _ODD = 0xD1342543DE82EF95
 
 
@@ -86,31 +88,31 @@ def _neighbourhood(line: str) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(deleted), np.concatenate([opened, whole])
 
 
-_VARIANTS = "key bigint, kind int, id bigint, n int, a bigint, b bigint"
+_VARIANTS = "key bigint, kind int, place bigint"
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: the line itself or an open place (all are one edit apart); 1: a deletion (one edit from kind 2); 2: the line, met by deletions."""
+    """kind 0: an open place (lines under one are one edit apart); 1: a deletion (one edit from kind 2); 2: the line, met by deletions."""
     for batch in batches:
         held: list[tuple[np.ndarray, np.ndarray, int]] = []
         size = 0
-        for i, line in enumerate(batch["line"].to_pylist()):
+        for place, line in zip(batch["place"].to_pylist(), batch["line"].to_pylist(), strict=True):
             deleted, opened = _neighbourhood(line)
             keys = np.concatenate([opened[:-1], deleted, opened[-1:]])
             kinds = np.concatenate([np.zeros(len(opened) - 1, np.int32), np.ones(len(deleted), np.int32), np.full(1, 2, np.int32)])
-            held.append((keys, kinds, i))
+            held.append((keys, kinds, place))
             size += len(keys)
             if size >= 200_000:
-                yield _variant_rows(batch, held)
+                yield _variant_rows(held)
                 held, size = [], 0
         if held:
-            yield _variant_rows(batch, held)
+            yield _variant_rows(held)
 
 
-def _variant_rows(batch: pa.RecordBatch, held: list[tuple[np.ndarray, np.ndarray, int]]) -> pa.RecordBatch:
+def _variant_rows(held: list[tuple[np.ndarray, np.ndarray, int]]) -> pa.RecordBatch:
     keys, kinds = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-    rows = pa.array(np.repeat([h[2] for h in held], [len(h[0]) for h in held]))
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(kinds, pa.int32()), *(batch[c].take(rows) for c in ("id", "n", "a", "b"))], names=["key", "kind", "id", "n", "a", "b"])
+    places = np.repeat(np.array([h[2] for h in held], np.int64), [len(h[0]) for h in held])
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(kinds, pa.int32()), pa.array(places)], names=["key", "kind", "place"])
 
 
 def _near(lines: DataFrame) -> DataFrame:
@@ -120,23 +122,21 @@ def _near(lines: DataFrame) -> DataFrame:
     shared = written(shared.where("lo <> hi").select("half"), "halves")
     half = _maybe(hashed.select("id", "n", "a", "b", "line", F.explode("halves").alias("half")), F.col("half"), shared, "half").where("_hit")
     # an inner join: a semi join would be moved below the filter, and all lines would be shuffled
-    able = half.join(shared, "half").groupBy("a", "b").agg(F.min(F.struct("id", "n", "line")).alias("at"))
-    near = written(able.select("a", "b", "at.*"), "lines")
-    place = F.struct("id", "n", "a", "b")
-    keys = near.mapInArrow(_emit, _VARIANTS).groupBy("key", "kind").agg(F.min(place).alias("least"), F.count("*").alias("size"))
-    keys = keys.groupBy("key").agg(
-        F.min(F.when(F.col("kind") == 0, F.col("least"))).alias("open"), F.sum(F.when(F.col("kind") == 0, F.col("size"))).alias("opened"),
-        F.min(F.when(F.col("kind") == 1, F.col("least"))).alias("deletion"), F.min(F.when(F.col("kind") == 2, F.col("least"))).alias("line"),
+    able = half.join(shared, "half").groupBy("a", "b").agg(F.min(F.struct("id", "n", "line")).alias("at")).select("a", "b", "at.*")
+    # places are numbers in the order of documents and lines: sorted ranges, numbered one after another, then written
+    ordered = able.repartitionByRange("id", "n").sortWithinPartitions("id", "n")
+    near = written(ordered.select("a", "b", "line", F.monotonically_increasing_id().alias("place")), "lines")
+    place = {k: F.when(F.col("kind") == k, F.col("place")) for k in range(3)}
+    keys = near.select("place", "line").mapInArrow(_emit, _VARIANTS).groupBy("key").agg(
+        F.min(place[0]).alias("open"), F.max(place[0]).alias("opened"), F.min(place[1]).alias("deletion"), F.min(place[2]).alias("whole")
     )
-    keys = written(keys.where("opened > 1 OR deletion IS NOT NULL AND line IS NOT NULL"), "keys")
+    keys = written(keys.where("open <> opened OR deletion IS NOT NULL AND whole IS NOT NULL"), "keys")
     # what each line has met that stands before it
-    met = F.expr("CASE kind WHEN 0 THEN open WHEN 1 THEN line ELSE deletion END")
-    mine = _maybe(near.mapInArrow(_emit, _VARIANTS), F.col("key"), keys, "key").where("_hit").drop("_hit")
-    pairs = mine.join(keys, "key").withColumn("met", met).where("met < struct(id, n, a, b)")
-    pairs = pairs.select("a", "b", F.col("met.a").alias("met_a"), F.col("met.b").alias("met_b")).distinct()
-    texts = near.select("a", "b", "line")
-    both = pairs.join(texts, ["a", "b"]).join(texts.select(F.col("a").alias("met_a"), F.col("b").alias("met_b"), F.col("line").alias("met")), ["met_a", "met_b"])
-    return both.where(F.levenshtein("line", "met", 1) == 1).select("a", "b").distinct()
+    met = F.expr("CASE kind WHEN 0 THEN open WHEN 1 THEN whole ELSE deletion END")
+    mine = _maybe(near.select("place", "line").mapInArrow(_emit, _VARIANTS), F.col("key"), keys, "key").where("_hit").drop("_hit")
+    pairs = mine.join(keys, "key").withColumn("met", met).where("met < place").select("place", "met").distinct()
+    both = pairs.join(near, "place").join(near.select(F.col("place").alias("met"), F.col("line").alias("other")), "met")
+    return both.where(F.levenshtein("line", "other", 1) == 1).select("a", "b").distinct()
 
 
 def dropped_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", max_edits: int = 1) -> DataFrame:
@@ -171,7 +171,7 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     rows = _maybe(docs.drop("n_lines", "n_dropped", "n_near"), key, drops, "_id")
     rows = rows.where("_hit").join(drops, key == F.col("_id"), "left").unionByName(rows.where("NOT _hit"), allowMissingColumns=True).drop("_hit")
     t, split = F.col(f"`{text}`"), F.split(F.col(f"`{text}`"), "\n")
-    rows = rows.withColumn("n_lines", F.coalesce(F.size(F.filter(split, lambda x: x.rlike(_BLANK))), F.lit(0)).cast("bigint"))
+    rows = rows.withColumn("n_lines", F.coalesce(F.regexp_count(t, F.lit(_VISIBLE)), F.lit(0)).cast("bigint"))
     # a line's number becomes null where it goes; a set operation, so long lists cost no more than their length
     left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_gone"))
     rows = rows.withColumn("_split", split)
