@@ -169,12 +169,12 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     drops = written(drops.groupBy(F.col("id").alias("_id")).agg(F.collect_list("n").alias("_gone"), F.sum(F.col("near").cast("bigint")).alias("_near")), "drops")
     key = F.col(f"`{doc_id}`")
     rows = _maybe(docs.drop("n_lines", "n_dropped", "n_near"), key, drops, "_id")
-    rows = rows.where("_hit").join(drops, key == F.col("_id"), "left").unionByName(rows.where("NOT _hit"), allowMissingColumns=True).drop("_hit")
     t, split = F.col(f"`{text}`"), F.split(F.col(f"`{text}`"), "\n")
-    rows = rows.withColumn("n_lines", F.coalesce(F.regexp_count(t, F.lit(_VISIBLE)), F.lit(0)).cast("bigint"))
+    counted = rows.withColumn("n_lines", F.coalesce(F.regexp_count(t, F.lit(_VISIBLE)), F.lit(0)).cast("bigint"))
     # a line's number becomes null where it goes; a set operation, so long lists cost no more than their length
-    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_gone"))
-    rows = rows.withColumn("_split", split)
+    hit = counted.where("_hit").join(drops, key == F.col("_id"), "left").withColumn("_split", F.when(F.col("_gone").isNotNull(), split))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), F.col("_gone"))
     kept = F.array_join(F.transform(left, lambda i: F.get(F.col("_split"), i)), "\n")
-    rows = rows.withColumns({text: F.when(F.col("_gone").isNull(), t).otherwise(kept), "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint"), "n_near": F.coalesce("_near", F.lit(0)).cast("bigint")})
-    return rows.drop("_id", "_gone", "_near", "_split")
+    hit = hit.withColumns({text: F.when(F.col("_gone").isNull(), t).otherwise(kept), "n_dropped": F.coalesce(F.array_size("_gone"), F.lit(0)).cast("bigint"), "n_near": F.coalesce("_near", F.lit(0)).cast("bigint")})
+    rest = counted.where("NOT _hit").withColumns({"n_dropped": F.lit(0).cast("bigint"), "n_near": F.lit(0).cast("bigint")})
+    return hit.drop("_id", "_gone", "_near", "_split").unionByName(rest).drop("_hit")
