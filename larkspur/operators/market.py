@@ -157,7 +157,7 @@ def price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def best_price_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly lowest price of each variant, with the last known one carried over months without an observation."""
-    months = observations(spark, sf_dir).where("variant_id <= 200").groupBy("variant_id", F.date_trunc("month", "observed_at").alias("month")).agg(F.min("price").alias("low"))
+    months = observations(spark, sf_dir).groupBy("variant_id", F.date_trunc("month", "observed_at").alias("month")).agg(F.min("price").alias("low"))
     spine = months.groupBy("variant_id").agg(F.min("month").alias("a"), F.max("month").alias("b")).select("variant_id", F.explode(F.expr("sequence(a, b, interval 1 month)")).alias("month"))
     w = Window.partitionBy("variant_id").orderBy("month")
     rows = spine.join(months, ["variant_id", "month"], "left")
