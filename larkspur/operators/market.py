@@ -126,11 +126,15 @@ def anchor_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def comparison_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variants by the five first shops: a pivot with a fixed column list, so no second pass looks for the columns."""
-    rows = offers(spark, sf_dir).where("shop_id <= 5 AND NOT stale").groupBy("variant_id").pivot("shop_id", [1, 2, 3, 4, 5]).agg(F.min("price"))
-    wide = rows.withColumnsRenamed({str(i): f"shop_{i}" for i in range(1, 6)})
-    summary = market_summary(spark, sf_dir).select("variant_id", "min_price", "spread_pct")
-    return wide.join(summary, "variant_id")
+    """Every variant with a valid offer, with a cell for each shop that offers it, and the five first shops' fresh prices.
+
+    cells: by shop, in order of their ids; stale offers are there too and say so. The five columns are read from the cells.
+    """
+    cell = F.struct("shop_id", F.struct("price", "regular", "in_stock", "stale").alias("cell"))
+    cells = offers(spark, sf_dir).groupBy("variant_id").agg(F.map_from_entries(F.array_sort(F.collect_list(cell))).alias("cells"))
+    summary = market_summary(spark, sf_dir).where("offer_count > 0").select("variant_id", "min_price", "spread_pct")
+    wide = {f"shop_{i}": F.expr(f"CASE WHEN NOT cells[{i}L].stale THEN cells[{i}L].price END") for i in range(1, 6)}
+    return summary.join(cells, "variant_id", "left").withColumns(wide)
 
 
 def matrix_page(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,3 +32,11 @@ def test_prices_of_all_variants_are_carried(spark, small):
             want.add((v, f"1998-{m:02}", low.get(m), last))
     got = market.best_price_carried(spark, small).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_the_matrix_has_all_variants_and_shops(spark, small):
+    last = {(x[0], x[1]): x[4] for x in SEEN}
+    got = {r["variant_id"]: r for r in market.comparison_matrix(spark, small).collect()}
+    assert {(v, shop): c["price"] for v, r in got.items() for shop, c in r["cells"].items()} == last
+    assert [got[7][f"shop_{i}"] for i in range(1, 6)] == [500, 400, None, None, None]
+    assert {v: r["min_price"] for v, r in got.items()} == {7: 400, 201: 300, 5000: 900}
