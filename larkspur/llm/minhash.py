@@ -1,10 +1,10 @@
 """Near-duplicate detection with DartMinHash signatures and banded joins.
 
-A document is a weighted set: its shingles of five words (A-Z lower-cased), each weighing 1 + ln(count). The half-plane of
-weight times rank above each shingle is a field into which hashed darts fall, one a unit of area on average; where they fall
-depends on the shingle alone. A document owns the field up to each shingle's weight. Every dart goes to one of the
-signature's coordinates by its hash, and each coordinate keeps the earliest dart (by rank) that the document owns, so two
-documents agree on a coordinate with the probability of their weighted Jaccard similarity. Only ranks up to a limit need be
+A document is the set of its shingles of five words (A-Z lower-cased), each weighing 1 however often it stands there, for
+that is what candidates are verified by. The half-plane of weight times rank above each shingle is a field into which hashed
+darts fall, one a unit of area on average; where they fall depends on the shingle alone. A document owns the field up to each
+shingle's weight. Every dart goes to one of the signature's coordinates by its hash, and each coordinate keeps the earliest
+dart (by rank) that the document owns, so two documents agree on a coordinate with the probability of their Jaccard similarity. Only ranks up to a limit need be
 thrown (about k ln k darts whatever the length); where a coordinate stays empty the limit is doubled.
 
 Equal word sequences are one class from the start and one of them represents it, so copies are never paired. The
@@ -187,8 +187,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in _chunks(sizes):
             part = batch.slice(a, b - a)
             hashes, counts = word_hashes(part["text"].to_pylist())
-            keys, text, times = _weighted(*shingles(hashes, counts))
-            signed = signatures(keys, text, 1 + np.log(times), b - a, k)
+            keys, text, _ = _weighted(*shingles(hashes, counts))
+            signed = signatures(keys, text, np.ones(len(keys)), b - a, k)
             band = np.zeros((b - a, BANDS), np.uint64)
             for r in range(ROWS):
                 band = mix(band, signed.reshape(-1, BANDS, ROWS)[:, :, r])
