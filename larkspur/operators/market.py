@@ -101,9 +101,9 @@ def latest_offer_per_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rank_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each shop stands at each rank, and its share; all ranks above five together."""
-    pos = market_position(spark, sf_dir).select("shop_id", F.least("rank", F.lit(6)).alias("rank_bucket"))
-    rows = pos.groupBy("shop_id", "rank_bucket").agg(F.count("*").alias("n"))
+    """How often each shop stands at each rank in markets of two offers or more, and its share of these."""
+    pos = market_position(spark, sf_dir).where("denominator >= 2")
+    rows = pos.groupBy("shop_id", "rank").agg(F.count("*").alias("n"))
     return rows.withColumn("share_pct", percent(F.col("n") / F.sum("n").over(Window.partitionBy("shop_id"))))
 
 

@@ -40,3 +40,11 @@ def test_the_matrix_has_all_variants_and_shops(spark, small):
     assert {(v, shop): c["price"] for v, r in got.items() for shop, c in r["cells"].items()} == last
     assert [got[7][f"shop_{i}"] for i in range(1, 6)] == [500, 400, None, None, None]
     assert {v: r["min_price"] for v, r in got.items()} == {7: 400, 201: 300, 5000: 900}
+
+
+def test_ranks_are_exact_and_of_real_markets(spark, tmp_path):
+    rows = [(1, s, s, 1, 100.0 * s, 0.0, 1.0, "O", datetime(1998, 6, 1)) for s in range(1, 10)] + [(2, 1, 20, 1, 50.0, 0.0, 1.0, "O", datetime(1998, 6, 1))]
+    kinds = "l_partkey bigint, l_suppkey bigint, l_orderkey bigint, l_linenumber int, l_extendedprice double, l_discount double, l_quantity double, l_linestatus string, l_shipdate timestamp_ntz"
+    spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r["shop_id"], r["rank"], r["n"], r["share_pct"]) for r in market.rank_distribution(spark, str(tmp_path)).select("shop_id", "rank", "n", "share_pct").collect()}
+    assert got == {(s, s, 1, 100.0) for s in range(1, 10)}
