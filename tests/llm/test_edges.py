@@ -126,6 +126,13 @@ def test_lines(spark, docs, none):
     got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"], r["n_near"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {1: ("same line\nother\n", 3, 1, 0), 2: ("totally new", 3, 2, 1), 3: ("", 1, 1, 1), None: ("same line", 1, 0, 0)}
     assert line_dedup.dedup_lines(none).count() == 0
+    clash = docs.withColumns({c: F.lit("z") for c in ("_id", "_word", "_hit", "id", "row", "gone", "near", "n_near")})
+    out = line_dedup.dedup_lines(clash)
+    assert out.columns == [*docs.columns, "_id", "_word", "_hit", "id", "row", "gone", "near", "n_lines", "n_dropped", "n_near"] and out.where("gone = 'z'").count() == docs.count()
+    # one very long line: its variants come in parts, and its neighbour is still found
+    long = "ab" * 150_000
+    both = spark.createDataFrame([(1, long), (2, long[:-7] + "x" + long[-6:]), (3, long[:77] + long[78:])], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["n_near"] for r in line_dedup.dedup_lines(both).collect()} == {1: 0, 2: 1, 3: 1}
     with pytest.raises(ValueError):
         line_dedup.dropped_lines(docs, max_edits=2)
 
@@ -164,11 +171,29 @@ def test_bpe(spark, docs, none):
     from tokenizers import Tokenizer
 
     path = registry.tokenizer_path()
-    t, mine = Tokenizer.from_file(path), bpe.ByteBPE(path)
-    special = mine.special[0][0] if mine.special else ""
+    t, mine = Tokenizer.from_file(path), bpe.ByteBPE(bpe.read_vocabulary(path))
+    special = mine.vocabulary.special[0][0] if mine.vocabulary.special else ""
     for text in [*(r["text"] or "" for r in docs.collect()), f"a{special}b {special}", "  two  spaces\n\n\n x", "日本語 \u00a0 \u2003x", "é" * 999, "don't I'LL", "\x00\x7f", "🙂🙂 ok", "aaaaaaaaaa" * 50]:
-        ids = np.frombuffer(mine.encode(text, bpe.Memory()), "<u4").tolist()
+        ids = np.frombuffer(mine.encode(text), "<u4").tolist()
         assert ids == t.encode(text, add_special_tokens=False).ids
         assert mine.decode(np.array(ids, "<u4").tobytes()).decode() == t.decode(ids, skip_special_tokens=False)
-    assert mine.decode(np.array([mine.ids[b"\xff"]], "<u4").tobytes()) == "\ufffd".encode()
+    assert mine.decode(np.array([mine.ids[0xFF]], "<u4").tobytes()) == "\ufffd".encode()
+    # more text in one batch than is encoded at a time: lengths and order stay
+    many = spark.createDataFrame([(i, f"row {i} " + "word " * 50_000) for i in range(12)], "doc_id bigint, text string").coalesce(1)
+    back = bpe.decode_column(bpe.encode_column(many, path), path)
+    assert back.where("text = decoded").count() == 12 and back.select("doc_id").distinct().count() == 12
     assert bpe.encode_column(none, path).count() == 0 and bpe.decode_column(bpe.encode_column(docs, path), path).count() == docs.count()
+
+
+def test_line_variants_are_all_deletions_and_open_places():
+    seen = {}
+    for line in ("abca", "aab", "a", "ab" * 120_000 + "c"):
+        parts = list(line_dedup._neighbourhood(line))
+        keys, kinds = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        n = len(line)
+        assert (kinds == 0).sum() == n and (kinds == 2).sum() == 1 and max(len(p[0]) for p in parts) <= line_dedup.BATCH
+        if n < 10:
+            assert (kinds == 1).sum() == len({line[:i] + line[i + 1 :] for i in range(n)})
+            seen[line] = set(keys[kinds == 1].tolist())
+            whole = list(line_dedup._neighbourhood(line[1:]))[-1][0]
+            assert int(whole[0]) in seen[line]
