@@ -38,18 +38,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: this cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables that written() gave, when nothing reads them any more, and let go of shuffles that nothing holds."""
+    for t in tables:
+        _delete(t.sparkSession, t._written_at)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _made[:] = [x for x in _made if x[1] != path]
 
 
 def drop_written(spark: SparkSession) -> None:
     """Remove the intermediate tables of this session; call it when no result that reads them is needed any more."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for owner, path in [x for x in _made if x[0] is spark]:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
-        _made.remove((owner, path))
+    for owner, path in list(_made):
+        if owner is spark:
+            _delete(spark, path)
 
 
 @atexit.register
