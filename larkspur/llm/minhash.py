@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.charlm import mix
-from larkspur.llm.common import written
+from larkspur.llm.common import dropped, written
 from larkspur.llm.url_filter import bits, bloom
 
 WORDS, SIMILARITY = 5, 0.8
@@ -37,6 +37,8 @@ SHARES = (1 / 16, 1.0)
 #: Bytes of text that are hashed at a time, about.
 CHUNK = 1 << 20
 _TURNS = 1 << 20
+#: A text is heavy if one of so many rows is a copy of it; so no more texts than that are.
+HEAVY = 1000
 #: Bits of the map of a text's hashed shingles.
 MARKS = 1024
 #: Blocks of the filter that fetches candidates' texts, 64 bits each.
@@ -250,7 +252,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = written(both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        now = written(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).distinct(), "edges")
+        before, now = now, written(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).distinct(), "edges")
+        dropped(before, large)
 
 
 def _allowed(a: Column, b: Column, a_marks: Column, b_marks: Column, similarity: float) -> Column:
@@ -263,6 +266,17 @@ def _allowed(a: Column, b: Column, a_marks: Column, b_marks: Column, similarity:
     return (F.least(a, b) >= F.greatest(a, b) * similarity - 1e-6) & (alone <= (a + b) * ((1 - similarity) / (1 + similarity)) + 1e-6)
 
 
+def _members(signed: DataFrame, copies: DataFrame) -> DataFrame:
+    """(id, rep) of every row. Texts that stand in one of HEAVY rows or more are HEAVY at most: they are broadcast, so the
+    copies of one text don't meet in one task. The others meet their representative in a shuffle."""
+    total = copies.agg(F.sum("n")).first()[0] or 0
+    often = F.col("n") >= max(total / HEAVY, 2.0)
+    heavy = F.broadcast(copies.where(often).select("fa", "fb", F.col("rep").alias("heavy")))
+    rows = signed.select("id", "fa", "fb").join(heavy, ["fa", "fb"], "left")
+    rest = rows.where("heavy IS NULL").select("id", "fa", "fb").join(copies.where(~often).select("fa", "fb", "rep"), ["fa", "fb"])
+    return rows.where("heavy IS NOT NULL").select("id", F.col("heavy").alias("rep")).unionByName(rest.select("id", "rep"))
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id) of every distinct non-null doc_id; class_id is the least doc_id of its class.
 
@@ -272,9 +286,11 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text")).where("id IS NOT NULL")
     signed = written(rows.mapInArrow(_sign, _SIGNED), "signed")
-    copies = signed.groupBy("fa", "fb").agg(F.min("id").alias("rep"))
-    members = written(signed.select("id", "fa", "fb").join(copies, ["fa", "fb"]).select("id", "rep"), "members")
-    banded = written(signed.join(copies, ["fa", "fb"]).where("id = rep").select("id", "size", F.explode("bands").alias("key")).distinct(), "banded")
+    copies = written(signed.groupBy("fa", "fb").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "copies")
+    members = written(_members(signed, copies), "members")
+    # ids are in the key too, so copies of one text are dealt over the tasks
+    reps = signed.join(copies.select(F.col("rep").alias("id"), "fa", "fb"), ["id", "fa", "fb"])
+    banded = written(reps.select("id", "size", F.explode("bands").alias("key")).distinct(), "banded")
     crowded = written(banded.join(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "crowded")
     # what others were copied from meets more of them than they meet each other, so it is a better first member
     met = crowded.groupBy("id").agg(F.sum("n").alias("met"))
