@@ -33,7 +33,7 @@ placed AS (SELECT doc_id, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS V
 SELECT slot, doc_id, shard FROM placed JOIN filled USING (slot)"""
 
 
-def op4(rules, listed: tuple[str, ...]) -> str:
+def op4(rules, reported: str) -> str:
     ordered = sorted(rules, key=lambda r: -len(r.text))
     fits = [f"(host = '{r.host}' OR host LIKE '%.{r.host}') AND starts_with(path, '{r.path}')" for r in ordered]
     rule = "CASE " + " ".join(f"WHEN {c} THEN '{r.text}'" for c, r in zip(fits, ordered, strict=True)) + " END"
@@ -50,7 +50,7 @@ whole AS (
     || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END ELSE '' END AS canonical_url FROM parts),
 list AS (
   SELECT DISTINCT canonical_url FROM whole
-  WHERE canonical_url <> '' AND regexp_extract(host, '^(?:www\.|m\.|blog\.)?([^.]*)', 1) IN {listed})
+  WHERE canonical_url <> '' AND starts_with(md5(CAST(page_id AS VARCHAR)), '{reported}'))
 SELECT page_id, host, path, {rule} AS rule,
   coalesce({action}, CASE WHEN canonical_url IN (SELECT canonical_url FROM list) THEN 'block' ELSE 'allow' END) AS verdict,
   canonical_url, canonical_url IN (SELECT canonical_url FROM list) AS listed

@@ -13,8 +13,9 @@ RULES = (
     url_filter.Rule("allow", "net", "/de/"), url_filter.Rule("block", "example.net", "/de/8"),
     url_filter.Rule("block", "org", "/es/"),
 )
-#: First labels of hosts whose pages make up the list of blocked URLs.
-LISTED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+#: The list of blocked URLs is drawn, as a crawl's reports would be: pages whose md5 of page_id begins with this digit report
+#: their URL, about one in 16. Hosts are hit in part, and a listed URL blocks all pages with the same canonical one.
+REPORTED = "7"
 SHARDS = tuple(f"shard-{i:02d}" for i in range(64))
 
 
@@ -74,15 +75,16 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    label = F.regexp_extract(url_filter.host_of(F.col("url")), r"^(?:www\.|m\.|blog\.)?([^.]*)", 1)
-    out = url_filter.judge(pages, pages.where(label.isin(*LISTED_LABELS)).select("url"), RULES)
+    reported = pages.where(F.md5(F.col("page_id").cast("string").cast("binary")).startswith(REPORTED))
+    out = url_filter.judge(pages, reported.select("url"), RULES)
     return out.select("page_id", "host", "path", "rule", "verdict", "canonical_url", "listed")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ratios = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.judge(docs, ratios).drop("text")
+    out = quality.judge(docs, ratios).drop("text")
+    return out.select(*[c for c in out.columns if c != "score"], "score")
 
 
 def queries() -> dict:
@@ -91,4 +93,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """For the others SQL has no hashed signatures, trained models, xxhash64 or byte-pair merges, or is too slow."""
-    return {"op1_chat_formatting": oracles.OP1, "op3_sharding": oracles.op3(SHARDS), "op4_url_filter": oracles.op4(RULES, LISTED_LABELS), "op5_decontamination": oracles.OP5}
+    return {"op1_chat_formatting": oracles.OP1, "op3_sharding": oracles.op3(SHARDS), "op4_url_filter": oracles.op4(RULES, REPORTED), "op5_decontamination": oracles.OP5}

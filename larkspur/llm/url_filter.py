@@ -95,18 +95,17 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule], *, url: st
 
     A fitting rule decides; else the list does: block where the canonical URL is listed, allow where it isn't. URLs that
     are null or have no `://` are never listed and are allowed. Repeated rows of either table change nothing; empty
-    tables are fine. Columns of pages with these names, or starting with `_`, are replaced.
+    tables are fine. Columns of pages with these names are replaced; any other name may be there.
     """
     known = listed.select(canonical(F.col(f"`{listed_url}`")).alias("_listed")).where("_listed <> ''").distinct()
-    u = F.col(f"`{url}`")
-    rows = pages.drop("host", "path", "canonical_url", "rule", "listed", "verdict")
-    rows = rows.withColumns({"host": host_of(u), "path": path_of(u), "canonical_url": canonical(u)})
-    rows = rows.withColumns({"_rule": rule_for(F.col("host"), F.col("path"), rules), "_h": F.xxhash64("canonical_url")})
-    rows = rows.withColumn("_block", _block(F.col("_h"), blocks)).join(F.broadcast(bloom(F.col("_listed"), known, blocks)), "_block", "left")
-    wanted = bits(F.col("_h"))
-    rows = rows.withColumn("_maybe", F.coalesce(F.col("_word").bitwiseAND(wanted) == wanted, F.lit(False)) & (F.col("canonical_url") != ""))
-    hits = rows.where("_maybe").join(known, F.col("canonical_url") == F.col("_listed"), "left").withColumn("listed", F.col("_listed").isNotNull()).drop("_listed")
-    rest = rows.where("NOT _maybe").withColumn("listed", F.lit(False))
-    out = hits.unionByName(rest)
-    verdict = F.coalesce(F.col("_rule.action"), F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))
-    return out.withColumns({"rule": F.col("_rule.rule"), "verdict": verdict}).drop("_rule", "_h", "_block", "_word", "_maybe")
+    u, names = F.col(f"`{url}`"), ("host", "path", "canonical_url", "rule", "listed", "verdict")
+    own = [c for c in pages.columns if c not in names]
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), host_of(u).alias("host"), path_of(u).alias("path"), canonical(u).alias("canonical_url"))
+    rows = rows.withColumns({"fits": rule_for(F.col("host"), F.col("path"), rules), "h": F.xxhash64("canonical_url")})
+    rows = rows.withColumn("_block", _block(F.col("h"), blocks)).join(F.broadcast(bloom(F.col("_listed"), known, blocks)), "_block", "left")
+    wanted = bits(F.col("h"))
+    rows = rows.withColumn("maybe", F.coalesce(F.col("_word").bitwiseAND(wanted) == wanted, F.lit(False)) & (F.col("canonical_url") != ""))
+    hits = rows.where("maybe").join(known, F.col("canonical_url") == F.col("_listed"), "left").withColumn("listed", F.col("_listed").isNotNull()).drop("_listed")
+    out = hits.unionByName(rows.where("NOT maybe").withColumn("listed", F.lit(False)))
+    verdict = F.coalesce(F.col("fits.action"), F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))
+    return out.select(*[F.col("row")[c].alias(c) for c in own], "host", "path", "canonical_url", F.col("fits.rule").alias("rule"), "listed", verdict.alias("verdict"))
