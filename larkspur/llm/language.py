@@ -2,17 +2,17 @@
 
 The models are fitted on a bounded sample of labelled documents (`MAX_ROWS` a language, chosen by a hash of the id). A text
 goes to the language with the lowest cross-entropy per character over all its words. It is rejected where that is far above
-what held-back documents of that language have (mean and spread, the spread shrinking with length).
+what held-back documents of that language have (a quantile for each language, and the spread by length).
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,14 +21,16 @@ from larkspur.llm.charlm import SortedModel, kneser_ney
 ORDER = 5
 #: Labelled documents of a language to fit on, about, and to calibrate on.
 MAX_ROWS, CALIBRATION_ROWS = 1500, 300
-#: A text is rejected beyond mean + SPREADS * spread / sqrt(characters), and at least LEEWAY of the mean above it.
-SPREADS, LEEWAY = 8.0, 0.9
+#: A text is rejected if its entropy lies beyond what held-back documents of its language have: above their QUANTILE by
+#: more than MARGIN times the distance from their median to it, and SPREADS * spread / sqrt(characters) for chance.
+QUANTILE, MARGIN, SPREADS = 0.99, 4.0, 8.0
 #: Words whose scores a worker remembers at a time.
 MEMORY = 400_000
 UNKNOWN = "und"
 #: Characters that count towards the confidence at most.
 CONFIDENT = 40
-_WORDS = re.compile(r"[^\W\d_]+")
+#: Runs of letters: of general category L, so no digits, fractions or circled numbers.
+_WORDS = regex.compile(r"\p{L}+")
 RESULT = "struct<lang_pred:string,score:double,entropy:double,chars:bigint,rejected:boolean>"
 
 
@@ -39,7 +41,7 @@ def words_of(text: str | None) -> list[str]:
 @dataclass
 class LanguageModel:
     model: SortedModel
-    mean: np.ndarray
+    limit: np.ndarray
     spread: np.ndarray
 
 
@@ -68,14 +70,14 @@ class _Scorer:
         return out
 
     def _verdict(self, ids: np.ndarray) -> dict:
-        if not len(ids):
+        if not len(ids) or not self.fitted.model.classes:
             return {"lang_pred": UNKNOWN, "score": 0.0, "entropy": None, "chars": 0, "rejected": True}
         sums = self.rows[ids].sum(axis=0)
         entropy = -sums[:-1] / sums[-1]
         best = int(entropy.argmin())
         p = 1 / np.exp((entropy[best] - entropy) * min(sums[-1], CONFIDENT)).sum()
         f = self.fitted
-        limit = f.mean[best] + max(SPREADS * f.spread[best] / np.sqrt(sums[-1]), LEEWAY * f.mean[best])
+        limit = f.limit[best] + SPREADS * f.spread[best] / np.sqrt(sums[-1])
         return {"lang_pred": f.model.classes[best], "score": round(float(p), 6), "entropy": float(entropy[best]), "chars": int(sums[-1]), "rejected": bool(entropy[best] > limit)}
 
 
@@ -105,11 +107,11 @@ def _split(text: str) -> Column:
 
 
 def fit(train: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", max_rows: int = MAX_ROWS) -> LanguageModel:
-    """Models of the languages in train. Rows with null text or language are left out; without any, fitting fails."""
+    """Models of the languages in train. Rows with null text or language are left out; without any, no language is known."""
     rows = train.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
-        raise ValueError("no labelled document to learn from")
+        return LanguageModel(SortedModel([], np.zeros(0)), np.zeros(0), np.zeros(0))
     place = F.pmod(F.xxhash64(F.col("id"), F.lit("language")), F.lit(1 << 30))
 
     def limit(n: int) -> Column:
@@ -127,23 +129,27 @@ def fit(train: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str
         words.append(word)
         counts.append(n)
     if not by:
-        raise ValueError("no labelled document with a letter to learn from")
+        return LanguageModel(SortedModel([], np.zeros(0)), np.zeros(0), np.zeros(0))
     model = kneser_ney({k: (w, np.array(c)) for k, (w, c) in by.items()}, ORDER)
     n = len(model.classes)
     fitted = LanguageModel(model, np.full(n, np.inf), np.zeros(n))
     seen = sample.where("part = 'calibrate'").withColumn("p", predicted(F.col("text"), train.sparkSession, fitted)).where("p.lang_pred = lang")
-    e, c = F.col("p.entropy"), F.col("p.chars")
-    for r in seen.groupBy("lang").agg(F.avg(e).alias("e"), F.avg(c).alias("c"), F.avg(e * c).alias("ec"), F.avg(e * e * c).alias("eec")).collect():
-        k = model.classes.index(r["lang"])
-        fitted.mean[k] = r["e"]
-        fitted.spread[k] = max(r["eec"] - 2 * r["e"] * r["ec"] + r["e"] ** 2 * r["c"], 0.0) ** 0.5
-    return LanguageModel(fitted.model, fitted.mean, fitted.spread)
+    # some CALIBRATION_ROWS rows a language
+    found: dict[str, list[tuple[float, int]]] = {}
+    for r in seen.select("lang", F.col("p.entropy").alias("e"), F.col("p.chars").alias("c")).collect():
+        found.setdefault(r["lang"], []).append((r["e"], r["c"]))
+    for language, pairs in found.items():
+        k, (e, c) = model.classes.index(language), np.array(pairs).T
+        middle, high = np.quantile(e, [0.5, QUANTILE])
+        fitted.limit[k] = high + MARGIN * (high - middle)
+        fitted.spread[k] = np.sqrt(np.mean((e - e.mean()) ** 2 * c))
+    return LanguageModel(fitted.model, fitted.limit, fitted.spread)
 
 
 def identify(docs: DataFrame, fitted: LanguageModel, *, text: str = "text") -> DataFrame:
     """docs with lang_pred, score (confidence), entropy, chars and rejected.
 
-    Null texts and those without a letter are `und` with score 0 and are rejected. Other texts get the nearest language,
+    Null texts and those without a letter are `und` with score 0 and are rejected; so are all where no language is known. Other texts get the nearest language,
     rejected or not. Repeated rows get the same; an empty table stays empty. Columns of docs with these names are replaced.
     """
     rows = docs.drop("lang_pred", "score", "entropy", "chars", "rejected").withColumn("_p", predicted(F.col(f"`{text}`"), docs.sparkSession, fitted))

@@ -147,3 +147,94 @@ def test_pipeline_is_its_stages_by_brute_force(spark, docs):
     one = minhash.keep_one(lines)
     clean = decontamination.decontaminate(one, spark.read.parquet(f"{SF}/benchmark.parquet")).where("NOT contaminated")
     assert out == {r["doc_id"] for r in clean.select("doc_id").collect()}
+
+
+def test_quality_scores_and_verdicts(spark, docs):
+    import math
+
+    import xxhash
+
+    from larkspur.llm import quality
+
+    def h(*parts):
+        seed = 42
+        for p in parts:
+            seed = xxhash.xxh64_intdigest(p.encode(), seed)
+        return seed - (1 << 64) * (seed >= 1 << 63)
+
+    def grams(text):
+        w = words(text)
+        return [h(x) % quality.BUCKETS for x in w] + [h(x, y) % quality.BUCKETS for x, y in zip(w, w[1:])]
+
+    good = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").collect()}
+    raw, target = Counter(), Counter()
+    for i, r in docs.items():
+        g = grams(r["text"])
+        raw.update(g)
+        if i in good:
+            target.update(g)
+    n, m = sum(raw.values()) + quality.BUCKETS, sum(target.values()) + quality.BUCKETS
+    ratio = [math.log((target[b] + 1) / m) - math.log((raw[b] + 1) / n) for b in range(quality.BUCKETS)]
+    for i, r in rows(spark, "op9_quality_rules").items():
+        g = grams(docs[i]["text"])
+        want = sum(ratio[b] for b in g) / len(g) if g else 0.0
+        assert r["score"] == pytest.approx(want, abs=3e-6)
+        assert r["kept"] == (not r["base_failed"] and r["score"] >= quality.THRESHOLD)
+
+
+def test_kneser_ney_is_that_of_a_naive_computation():
+    """Order 3 over words with their start mark, by plain dictionaries."""
+    from larkspur.llm.charlm import kneser_ney
+
+    text = {"banana": 3, "band": 2, "nab": 1, "an": 4, "ab": 1}
+    model = kneser_ney({"x": (list(text), np.array(list(text.values())))}, 3)
+    seen = {m: Counter() for m in (1, 2, 3)}
+    for w, c in text.items():
+        s = "<" + w + ">"
+        for k in range(1, len(s)):
+            seen[min(k + 1, 3)][s[max(0, k - 2) : k + 1]] += c  # from the start mark on, shorter ones count as seen
+    for m in (2, 1):
+        for g in seen[m + 1]:
+            seen[m][g[1:]] += 1
+    symbols = len(seen[1]) + 1
+
+    def discount(m):
+        one, two = (sum(c == k for c in seen[m].values()) for k in (1, 2))
+        return min(max(one / max(one + 2 * two, 1), 0.1), 0.95)
+
+    def p(g):
+        if not g:
+            return 1 / symbols
+        of = {k: c for k, c in seen[len(g)].items() if k[:-1] == g[:-1]}
+        if not of:
+            return p(g[1:])
+        d, total = discount(len(g)), sum(of.values())
+        return max(of.get(g, 0) - d, 0) / total + d * len(of) / total * p(g[1:])
+
+    for w in ("banana", "bad", "nan", "a", "zab"):
+        s = "<" + w + ">"
+        want = sum(np.log(p(s[max(0, k - 2) : k + 1])) for k in range(1, len(s)))
+        assert model.word_logs([w])[0, 0] == pytest.approx(want, rel=1e-4)
+
+
+def test_recall_of_near_duplicates_at_a_larger_scale(spark):
+    """Every pair of similarity 0.8 or more at sf0.01, found by brute force, is in one class."""
+    from larkspur.llm import minhash
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets, where = {}, defaultdict(list)
+    for r in docs.collect():
+        w = words(lower(r["text"] or ""))
+        sets[r["doc_id"]] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else {()}
+    pairs = 0
+    shared = Counter()
+    for i, s in sets.items():
+        for x in s:
+            shared.update((j, i) for j in where[x])
+            where[x].append(i)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs).collect()}
+    for (a, b), n in shared.items():
+        if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n):
+            pairs += 1
+            assert got[a] == got[b], (a, b)
+    assert pairs >= 100

@@ -58,7 +58,7 @@ def test_shards_take_turns():
 
 def test_urls(spark):
     urls = [None, "", "no scheme", "HTTP://Example.COM/en/7?x#y", "http://a.example.com/en/1", "http://spam.io/x/?utm_source=1&b=2&a=1", "http://www.spam.io:80/x?a=1&b=2", "http://com/en/", "http://telecom/en/", "https://example.com/en/7", "x://h://y"]
-    pages = spark.createDataFrame([(i, u, "q", "r") for i, u in enumerate(urls)] * 2, "page_id bigint, url string, host string, _rule string")
+    pages = spark.createDataFrame([(i, u, "q", "r") for i, u in enumerate(urls)] * 2, "page_id bigint, url string, host string, _rule string").withColumns({c: F.lit("z") for c in ("_word", "_listed", "row", "maybe", "h", "_block")})
     listed = spark.createDataFrame([("https://spam.io/x?b=2&a=1",), (None,)], "url string")
     got = {r["page_id"]: r for r in url_filter.judge(pages, listed, registry.RULES).collect()}
     assert len(got) == len(urls) and url_filter.judge(pages, listed, registry.RULES).count() == 2 * len(urls)
@@ -154,8 +154,10 @@ def test_language(spark, docs, none):
     out = language.identify(docs, fitted).collect()
     assert len(out) == docs.count() and all(r["lang_pred"] == "und" and r["score"] == 0 for r in out if not (r["text"] or "").strip())
     assert language.identify(none, fitted).count() == 0
-    with pytest.raises(ValueError):
-        language.fit(none)
+    digits = spark.createDataFrame([(1, "½ ² ① 12"), (2, "½ chat")], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language.identify(digits, fitted).collect()} == {1: "und", 2: "fr"}
+    unknown = language.fit(none)
+    assert language.identify(none, unknown).count() == 0 and {r["lang_pred"] for r in language.identify(docs, unknown).collect()} == {"und"}
 
 
 def test_language_model(spark, docs, none):
