@@ -7,6 +7,7 @@ what held-back documents of that language have (a quantile for each language, an
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,13 +30,14 @@ MEMORY = 400_000
 UNKNOWN = "und"
 #: Characters that count towards the confidence at most.
 CONFIDENT = 40
-#: Runs of letters: of general category L, so no digits, fractions or circled numbers.
-_WORDS = regex.compile(r"\p{L}+")
+_WORDS, _LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
 RESULT = "struct<lang_pred:string,score:double,entropy:double,chars:bigint,rejected:boolean>"
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORDS.findall(text.lower()) if text else []
+    """Runs of letters (general category L) in lower case; fractions and circled numbers are none, so they part words."""
+    found = _WORDS.findall(text.lower()) if text else []
+    return found if all(map(str.isalpha, found)) else [x for w in found for x in _LETTERS.findall(w)]
 
 
 @dataclass
