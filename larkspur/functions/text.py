@@ -1,16 +1,15 @@
 """Text normalization and similarity as Column builders.
 
-Everything is built-in expressions over a closed alphabet (Latin letters with diacritics); `clean_text_full` is the Arrow
-variant for texts beyond it (compatibility forms and numeric entities).
+Everything is built-in expressions. What Unicode says of characters comes from tables that are built by rule at import.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,30 +19,75 @@ ENTITIES = {
     "&times;": "x", "&hellip;": "…", "&deg;": "°", "&eacute;": "é", "&aacute;": "á", "&oacute;": "ó", "&uacute;": "ú", "&iacute;": "í",
     "&ouml;": "ö", "&uuml;": "ü", "&Ouml;": "Ö", "&Uuml;": "Ü", "&odblac;": "ő", "&udblac;": "ű",
 }
-# Typographic characters and their plain forms.
-TYPOGRAPHIC = {"‘": "'", "’": "'", "‛": "'", "ʼ": "'", "“": '"', "”": '"', "„": '"', "–": "-", "—": "-", "−": "-", "‐": "-", "‑": "-", "×": "x", "✕": "x", "✖": "x", " ": " ", " ": " ", " ": " "}
+# Typographic characters and their plain forms; zero-width ones vanish.
+TYPOGRAPHIC = {
+    "‘": "'", "’": "'", "‛": "'", "ʼ": "'", "“": '"', "”": '"', "„": '"', "–": "-", "—": "-", "−": "-", "‐": "-", "‑": "-", "×": "x", "✕": "x", "✖": "x",
+    "\u00a0": " ", "\u2002": " ", "\u2003": " ", "\u2009": " ", "\u202f": " ", "⁄": "/", "½": " 1/2 ", "\u200b": "", "\u200c": "", "\u200d": "", "\ufeff": "",
+}
+
+#: Letters whose decomposition is one letter and marks, over the whole basic plane.
+_PLAIN = {
+    chr(c): d for c in range(0xC0, 0xFFFE)
+    if not 0xD800 <= c < 0xE000 and len(d := unicodedata.normalize("NFC", re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFD", chr(c))))) == 1 and d != chr(c)
+}
+#: Characters with a compatibility form, over the basic plane, by rule: what NFKC and then the typographic table make of each.
+_FORMS = TYPOGRAPHIC | {
+    chr(c): "".join(TYPOGRAPHIC.get(x, x) for x in unicodedata.normalize("NFKC", chr(c))) for c in range(0xA0, 0xFFFE)
+    if not 0xD800 <= c < 0xE000 and unicodedata.normalize("NFKC", chr(c)) not in (chr(c), unicodedata.normalize("NFC", chr(c)))
+}
+
 
-_LETTERS = [chr(c) for c in range(0xC0, 0x250)]
-_PLAIN = {c: d for c in _LETTERS if len(d := "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))) == 1 and d != c}
+def _ranges(chars: Iterable[str]) -> str:
+    """A character class of these characters."""
+    codes, out = sorted(map(ord, chars)), []
+    for c in codes:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
+
+
+_SPECIAL = _ranges(_FORMS)
 
 
 def deaccent(s: Column) -> Column:
-    """Latin letters without their diacritics; combining marks go."""
-    return F.regexp_replace(F.translate(s, "".join(_PLAIN), "".join(_PLAIN.values())), r"[̀-ͯ]", "")
+    """Letters without their diacritics; combining marks go."""
+    return F.regexp_replace(F.translate(s, "".join(_PLAIN), "".join(_PLAIN.values())), "[\u0300-\u036f]", "")
+
+
+def decode_entities(s: Column) -> Column:
+    """The named entities of the table and numeric ones; others stay. Texts without an ampersand skip all that."""
+    numeric = F.split(s, "(?i)(?=&#(?:[0-9]+|x[0-9a-f]+);)")
+
+    def char(code: Column) -> Column:
+        return F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
+
+    def one(p: Column) -> Column:
+        decimal, hexa = F.regexp_extract(p, "^&#([0-9]{1,7});", 1), F.regexp_extract(p, "^&#[x]([0-9a-fA-F]{1,6});", 1)
+        code = F.when(decimal != "", decimal.cast("bigint")).when(hexa != "", F.conv(hexa, 16, 10).cast("bigint"))
+        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        return F.when(valid, F.concat(char(F.hex(code)), F.regexp_replace(p, "^&#x?[0-9a-fA-F]+;", ""))).otherwise(p)
+
+    out = F.array_join(F.transform(numeric, one), "")
+    named = F.when(F.contains(s, F.lit("&#")), F.replace(out, F.lit("&#39;"), F.lit("'"))).otherwise(s)
+    for entity, plain in ENTITIES.items():
+        if entity != "&amp;":
+            named = F.replace(named, F.lit(entity), F.lit(plain))
+    return F.when(F.instr(s, "&") > 0, F.replace(named, F.lit("&amp;"), F.lit("&"))).otherwise(s)
 
 
 def clean_text(s: Column) -> Column:
-    """Named entities decoded, typographic characters plain, tags to blanks, blanks joined; null gives the empty text.
+    """Entities decoded, compatibility forms (NFKC) and typographic characters plain, tags to blanks, blanks joined.
 
-    Texts without an ampersand skip the entities.
+    Null gives the empty text. Built-in expressions only: texts without a special character skip the table. Characters beyond
+    the basic plane, and letters followed by combining marks, stay as they are.
     """
-    out = F.coalesce(s.cast("string"), F.lit(""))
-    decoded = out
-    for entity, char in ENTITIES.items():
-        decoded = F.replace(decoded, F.lit(entity), F.lit(char))
-    out = F.when(F.instr(out, "&") > 0, decoded).otherwise(out)
-    out = F.translate(out, "".join(TYPOGRAPHIC), "".join(TYPOGRAPHIC.values()))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, "<[^>]*>", " "), r"\s+", " "))
+    out = decode_entities(F.coalesce(s.cast("string"), F.lit("")))
+    forms = F.from_json(F.lit(json.dumps(_FORMS)), "map<string,string>")
+    plain = F.array_join(F.transform(F.split(out, ""), lambda c: F.coalesce(F.try_element_at(forms, c), c)), "")
+    out = F.when(out.rlike(_SPECIAL), plain).otherwise(out)
+    return F.trim(F.regexp_replace(F.regexp_replace(out, "<[^>]*>", " "), r"[\s\x{1680}\x{2028}\x{2029}]+", " "))
 
 
 def search_norm(s: Column) -> Column:
@@ -106,24 +150,3 @@ def name_similarity(a: Column, b: Column) -> Column:
     """0.4 trigrams + 0.35 tokens + 0.25 containment, of normalized texts."""
     ta, tb = tokens(a), tokens(b)
     return 0.4 * jaccard(grams(a), grams(b)) + 0.35 * jaccard(ta, tb) + 0.25 * containment(ta, tb)
-
-
-_NUMERIC = re.compile(r"&#x([0-9a-fA-F]+);|&#(\d+);")
-_NAMED = re.compile("|".join(map(re.escape, ENTITIES)))
-
-
-def clean_one(text: str | None) -> str:
-    """What clean_text gives, for any text: numeric entities and Unicode compatibility forms too."""
-    out = _NAMED.sub(lambda m: ENTITIES[m[0]], text or "")
-    out = _NUMERIC.sub(lambda m: chr(c) if (c := int(m[1], 16) if m[1] else int(m[2])) < 0x110000 and not 0xD800 <= c < 0xE000 else m[0], out)
-    out = unicodedata.normalize("NFKC", out).translate({ord(k): v for k, v in TYPOGRAPHIC.items()})
-    return re.sub(r"\s+", " ", re.sub(r"<[^>]*>", " ", out)).strip()
-
-
-def clean_text_full(s: Column) -> Column:
-    @F.arrow_udf("string")
-    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([clean_one(x) for x in batch.to_pylist()], pa.string())
-
-    return clean(s)

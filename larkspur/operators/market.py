@@ -50,13 +50,13 @@ POSITIONS_SQL = FRESH_SQL + """, pos AS (
 def summaries(offers: DataFrame) -> DataFrame:
     """One row a variant: counts, extremes with their shops, median, average, spread and data quality.
 
-    The lowest price goes to the lowest shop that has it, the highest to the highest one.
+    offers has one row a variant and shop, so offers are shops. The lowest price goes to the lowest shop that has it, the highest to the highest one.
     """
     ok = (~F.col("stale")) & (F.col("price") > 0)
     price = F.when(ok, F.col("price"))
     low, high = F.min(F.when(ok, F.struct("price", "shop_id"))), F.max(F.when(ok, F.struct("price", "shop_id")))
     rows = offers.groupBy("variant_id").agg(
-        F.count(price).alias("offer_count"), F.countDistinct(F.when(ok, F.col("shop_id"))).alias("shop_count"), low.alias("lo"), high.alias("hi"),
+        F.count(price).alias("offer_count"), F.count(price).alias("shop_count"), low.alias("lo"), high.alias("hi"),
         half_up(F.median(price)).alias("median_price"), half_up(F.sum(price) / F.count(price)).alias("avg_price"),
         F.bool_or("stale").alias("any_stale"), F.count_if(ok & (F.col("regular") > F.col("price"))).alias("on_sale"),
     )
@@ -117,11 +117,11 @@ def most_expensive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anchor_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One shop's offers against the best and the median of the others: a self-join on the variant."""
-    all_offers = offers(spark, sf_dir).where("NOT stale AND price > 0").select("variant_id", "shop_id", "price")
-    anchor = all_offers.where("shop_id = 1").select("variant_id", F.col("price").alias("anchor_price"))
-    others = all_offers.where("shop_id <> 1").groupBy("variant_id").agg(F.min("price").alias("other_min"), F.count("*").alias("other_offers"), half_up(F.median("price")).alias("other_median"))
-    out = anchor.join(others, "variant_id", "left").withColumn("other_offers", F.coalesce("other_offers", F.lit(0)))
+    """One shop's offers against the best and the median of the others: one grouping by variant, no self-join."""
+    price, mine = F.col("price"), F.col("shop_id") == 1
+    out = offers(spark, sf_dir).where("NOT stale AND price > 0").groupBy("variant_id").agg(
+        F.min(F.when(mine, price)).alias("anchor_price"), F.min(F.when(~mine, price)).alias("other_min"), F.count_if(~mine).alias("other_offers"), half_up(F.median(F.when(~mine, price))).alias("other_median"),
+    ).where("anchor_price IS NOT NULL")
     return out.withColumn("delta_pct", percent((F.col("anchor_price") - F.col("other_min")) / F.col("other_min")))
 
 
@@ -168,12 +168,18 @@ def best_price_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("variant_id", F.date_format("month", "yyyy-MM").alias("month"), "low", F.last("low", True).over(w).alias("carried"))
 
 
-QUERIES = {f.__name__: f for f in (market_position, market_summary, latest_offer_per_pair, rank_distribution, most_expensive, anchor_comparison, comparison_matrix, matrix_page, band_position, price_history, best_price_carried)}
+def comparison_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix with its cells as text, `shop:price:regular:in_stock:stale;...`, as an export writes it."""
+    text = F.transform(F.map_entries("cells"), lambda e: F.concat_ws(":", e["key"].cast("string"), *(e["value"][c].cast("string") for c in ("price", "regular", "in_stock", "stale"))))
+    return comparison_matrix(spark, sf_dir).withColumn("cells", F.array_join(text, ";"))
+
+
+QUERIES = {"comparison_matrix": comparison_cells} | {f.__name__: f for f in (market_position, market_summary, latest_offer_per_pair, rank_distribution, most_expensive, anchor_comparison, matrix_page, band_position, price_history, best_price_carried)}
 ORACLES = {
     "market_position": f"WITH {POSITIONS_SQL} SELECT * FROM pos",
     "market_summary": f"WITH {SUMMARIES_SQL} SELECT * FROM summary",
     "latest_offer_per_pair": f"WITH {FRESH_SQL} SELECT variant_id, shop_id, price, regular, in_stock, age_hours, stale FROM fresh",
-    "rank_distribution": f"""WITH {POSITIONS_SQL}, g AS (SELECT shop_id, least(rank, 6) AS rank_bucket, count(*) AS n FROM pos GROUP BY 1, 2)
+    "rank_distribution": f"""WITH {POSITIONS_SQL}, g AS (SELECT shop_id, rank, count(*) AS n FROM pos WHERE denominator >= 2 GROUP BY 1, 2)
         SELECT *, floor(n / sum(n) OVER (PARTITION BY shop_id) * 10000 + 0.5) / 100 AS share_pct FROM g""",
     "most_expensive": f"""WITH {POSITIONS_SQL.replace(', pos AS', ', pos AS')}, summary AS (
         SELECT variant_id, min(price) AS min_price, (list(shop_id ORDER BY price, shop_id))[1] AS min_shop_id FROM valid GROUP BY 1),
@@ -183,8 +189,9 @@ ORACLES = {
         CAST(floor(median(price) + 0.5) AS BIGINT) AS other_median FROM valid WHERE shop_id <> 1 GROUP BY 1)
         SELECT a.variant_id, a.price AS anchor_price, other_min, coalesce(other_offers, 0) AS other_offers, other_median,
         floor((a.price - other_min) / other_min * 10000 + 0.5) / 100 AS delta_pct FROM valid a LEFT JOIN others USING (variant_id) WHERE a.shop_id = 1""",
-    "comparison_matrix": f"""WITH {SUMMARIES_SQL}, wide AS (SELECT variant_id, {', '.join(f'min(price) FILTER (WHERE shop_id = {i}) AS shop_{i}' for i in range(1, 6))}
-        FROM fresh WHERE shop_id <= 5 AND NOT stale GROUP BY 1) SELECT wide.*, min_price, spread_pct FROM wide JOIN summary USING (variant_id)""",
+    "comparison_matrix": f"""WITH {SUMMARIES_SQL}, cells AS (SELECT variant_id, {', '.join(f'min(price) FILTER (WHERE shop_id = {i} AND NOT stale) AS shop_{i}' for i in range(1, 6))},
+        string_agg(concat_ws(':', shop_id, price, regular, in_stock, stale), ';' ORDER BY shop_id) AS cells FROM fresh GROUP BY 1)
+        SELECT cells.*, min_price, spread_pct FROM summary JOIN cells USING (variant_id) WHERE offer_count > 0""",
     "matrix_page": f"""WITH {SUMMARIES_SQL} SELECT variant_id, p_name, spread_pct, shop_count FROM summary JOIN part ON p_partkey = variant_id
         WHERE shop_count >= 2 AND (p_type ILIKE '%STEEL%' OR p_name ILIKE '%steel%' OR p_size > 20)
         ORDER BY spread_pct DESC NULLS LAST, variant_id LIMIT 50 OFFSET 50""",
@@ -192,7 +199,7 @@ ORACLES = {
         FROM valid WINDOW w AS (PARTITION BY variant_id)""",
     "price_history": f"""WITH {OFFERS_SQL} SELECT variant_id, shop_id, run_id, line, price, lag(price) OVER w AS previous_price, row_number() OVER w AS step
         FROM obs WHERE observed_at BETWEEN TIMESTAMP '1998-06-04' AND TIMESTAMP '1998-12-01' WINDOW w AS (PARTITION BY variant_id, shop_id ORDER BY observed_at, run_id, line)""",
-    "best_price_carried": f"""WITH {OFFERS_SQL}, m AS (SELECT variant_id, date_trunc('month', observed_at) AS month, min(price) AS low FROM obs WHERE variant_id <= 200 GROUP BY 1, 2),
+    "best_price_carried": f"""WITH {OFFERS_SQL}, m AS (SELECT variant_id, date_trunc('month', observed_at) AS month, min(price) AS low FROM obs GROUP BY 1, 2),
         spine AS (SELECT variant_id, unnest(generate_series(min(month)::TIMESTAMP, max(month)::TIMESTAMP, INTERVAL 1 MONTH)) AS month FROM m GROUP BY 1)
         SELECT variant_id, strftime(s.month, '%Y-%m') AS month, low, last_value(low IGNORE NULLS) OVER (PARTITION BY variant_id ORDER BY s.month) AS carried
         FROM spine s LEFT JOIN m USING (variant_id, month)""",
