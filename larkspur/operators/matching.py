@@ -139,7 +139,7 @@ def scored(rows: DataFrame) -> DataFrame:
     stated = total(F.col(f"stated.{f}").cast("int") for f in optional)
     proven = total((F.col(f"stated.{f}") & (state(f) != "unknown")).cast("int") for f in optional)
     hard = F.array_compact(F.array(*[F.when(state(f) == "contradiction", f"{f.upper()}_MISMATCH") for f in HARD]))
-    ratio = F.round(F.greatest("reference", "offer") / F.least("reference", "offer"), 4)
+    ratio = F.floor(F.greatest("reference", "offer") / F.least("reference", "offer") * 10000 + 0.5) / 10000
     rows = rows.withColumns({
         "hard": hard, "agreement": F.round(F.when(weight > 0, points / weight).otherwise(0.0), 4), "coverage": F.round(0.85 * known + 0.15 * F.when(stated > 0, proven / stated).otherwise(1.0), 4),
         "support": F.round(compare.retrieval_support(F.col("channels")), 4), "price_ratio": F.when((F.col("reference") > 0) & (F.col("offer") > 0), ratio),
@@ -327,7 +327,7 @@ def _sql() -> dict[str, str]:
     hard = ", ".join(f"CASE WHEN {f}_state = 'contradiction' THEN '{f.upper()}_MISMATCH' END" for f in HARD)
     missing = ", ".join(f"CASE WHEN {f}_state = 'unknown' THEN 'REQUIRED_{f.upper()}_UNKNOWN' END" for f in REQUIRED)
     score = f"""{comp}, s0 AS (SELECT *, round(({points}) / ({weight}), 4) AS ag, round(0.85 * (({known}) / 3.0::DOUBLE) + 0.15 * ((1 + CAST(abv_state <> 'unknown' AS INT) * 0 + CAST(category_state <> 'unknown' AS INT) + CAST(vintage_state <> 'unknown' AS INT) + CAST(gtin_stated AND gtin_state <> 'unknown' AS INT)) / (3 + CAST(gtin_stated AS INT))::DOUBLE), 4) AS co,
-      CASE WHEN len(channels) = 2 THEN round(0.9 + 0.7 * 0.08::DOUBLE, 4) WHEN channels[1] = 'gtin' THEN 0.9 ELSE 0.7 END::DOUBLE AS support, round(greatest(reference, offer) / least(reference, offer)::DOUBLE, 4) AS price_ratio,
+      CASE WHEN len(channels) = 2 THEN round(0.9 + 0.7 * 0.08::DOUBLE, 4) WHEN channels[1] = 'gtin' THEN 0.9 ELSE 0.7 END::DOUBLE AS support, floor(greatest(reference, offer) / least(reference, offer)::DOUBLE * 10000 + 0.5) / 10000 AS price_ratio,
       list_filter([{hard}], lambda x: x IS NOT NULL) AS hard FROM f0),
     s1 AS (SELECT *, len(hard) > 0 AS rejected, list_filter([{missing}, CASE WHEN co < 0.9 THEN 'LOW_EVIDENCE_COVERAGE' END, CASE WHEN quality < 0.9 THEN 'LOW_EXTRACTION_QUALITY' END, CASE WHEN other_producer AND producer_state = 'match' THEN 'FUZZY_ONLY_BRAND_MATCH' END,
       CASE WHEN gtin_state = 'match' AND vintage_state = 'unknown' THEN 'EAN_MATCH_VINTAGE_UNPROVEN' END, CASE WHEN price_ratio > 2 THEN 'PRICE_RATIO_IMPLAUSIBLE' END], lambda x: x IS NOT NULL) AS why,
