@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("larkspur.operators.market", "larkspur.operators.names", "larkspur.operators.history", "larkspur.operators.relations", "larkspur.operators.matching", "larkspur.operators.pages")
+MODULES = ("larkspur.operators.market", "larkspur.operators.names", "larkspur.operators.history", "larkspur.operators.relations", "larkspur.operators.matching", "larkspur.operators.pages", "larkspur.streaming.events")
 
 
 def queries() -> dict:
