@@ -145,6 +145,11 @@ def test_decontamination(spark, docs, none):
     assert [(s["start"], s["end"]) for s in r["spans"]] == [(7, 11)] and r["contaminated"]
     part = spark.createDataFrame([(1, " ".join(f"W{i}" for i in range(3, 16))), (2, " ".join(f"w{i}" for i in range(3, 15)))], "doc_id bigint, text string")
     assert {r["doc_id"]: r["n_hit"] for r in decontamination.decontaminate(part, items).collect()} == {1: 13, 2: 0}
+    # in parts: the items of a document, and words that windows of several parts hit, are joined
+    many = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i, i + 14))) for i in range(0, 60, 5)] + [(100 + i, f"four w{i}") for i in range(9)], "item_id bigint, text string")
+    texts = spark.createDataFrame([(i, " é ".join([" ".join(f"W{j}" for j in range(i, 40 + i)), "four w3; four w4"])) for i in range(6)], "doc_id bigint, text string").unionByName(docs.select("doc_id", "text"))
+    whole, parts = (sorted(map(repr, decontamination.decontaminate(texts, many, max_words=n).collect())) for n in (10_000, 40))
+    assert whole == parts and sum("contaminated=True" in r for r in whole) == 6
     assert decontamination.decontaminate(none, items).count() == 0 and not decontamination.decontaminate(docs, items.where("false")).where("contaminated").count()
 
 
