@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -88,3 +88,22 @@ def lower_ascii(text: Column) -> Column:
 def fold(key: Column, n: int) -> Column:
     """crc32 of the key as text, modulo n; null keys count as empty text."""
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+def running(df: DataFrame, by: list[str], amounts: dict[str, Column], *, group: tuple[str, ...] = ()) -> DataFrame:
+    """df with, for each amount, its sum over the rows of the same group that come before in the order of `by`.
+
+    Rows are dealt by ranges of (group, by), so a group of any size is spread over tasks; each range sums its own rows, and the
+    sums of the earlier ranges, one row for each range and group, are added. Nulls come first and are a group of their own.
+    Rows that are equal in `by` are in one range, in any order. Numbers are longs.
+    """
+    plain = df.withColumns({n: c.cast("long") for n, c in amounts.items()})
+    dealt = written(plain.repartitionByRange(*group, *by).withColumn("_range", F.spark_partition_id()), "dealt")
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy(*group, "_range").agg(*[F.sum(n).alias(n) for n in amounts])
+    before = totals.select(*[F.col(g).alias(f"_{g}") for g in group], F.col("_range").alias("_of"), *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_{n}") for n in amounts])
+    within = Window.partitionBy(*group, "_range").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    own = dealt.withColumns({n: F.coalesce(F.sum(n).over(within), F.lit(0)) for n in amounts})
+    met = [F.col("_range") == F.col("_of"), *[F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group]]
+    out = own.join(before, met)
+    return out.select(*df.columns, *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in amounts])

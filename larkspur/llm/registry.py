@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, chat, decontamination, hpylm, language, line_dedup, minhash, oracles, quality, sharding, url_filter
+from larkspur.llm import bpe, chat, decontamination, divergence, hpylm, language, line_dedup, minhash, mixing, oracles, periodic, quality, sharding, url_filter
 from larkspur.llm.common import fold, table
 
 RULES = (
@@ -16,6 +16,8 @@ RULES = (
 #: The list of blocked URLs is drawn, as a crawl's reports would be: pages whose md5 of page_id begins with this digit report
 #: their URL, about one in 16. Hosts are hit in part, and a listed URL blocks all pages with the same canonical one.
 REPORTED = "7"
+#: Of the mix's sources, in turn.
+WEIGHTS = (5, 2, 1)
 SHARDS = tuple(f"shard-{i:02d}" for i in range(64))
 
 
@@ -87,10 +89,37 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*[c for c in out.columns if c != "score"], "score")
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, documents = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), WEIGHTS)
+    return documents.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def with_planted_period(docs: DataFrame) -> DataFrame:
+    """The contract's documents: where h % 10 = 0, the words from a on repeat the first p of them; null ids count as empty."""
+    words = F.regexp_extract_all("text", F.lit(mixing.WORD), F.lit(0))
+    n = F.nullif(F.size(words).cast("long"), F.lit(0).cast("long"))
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    g = F.floor(h / 10).cast("long")
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    period = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    planted = F.concat(F.slice(words, F.lit(1), a), F.slice(period, F.lit(1), (n - a).cast("int")))
+    return docs.withColumn("text", F.when((h % 10 == 0) & n.isNotNull(), F.array_join(planted, " ")).otherwise(F.col("text")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_planted_period(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return periodic.digest(periodic.collapse(docs)).drop("text")
+
+
+def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_minhash_dedup, op3_sharding, op4_url_filter, op5_decontamination, op6_line_dedup, op7_language_id, op8_lm_scoring, op9_quality_rules, op10_bpe)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_minhash_dedup, op3_sharding, op4_url_filter, op5_decontamination, op6_line_dedup, op7_language_id, op8_lm_scoring, op9_quality_rules, op10_bpe, op11_source_mixing, op12_periodic_runs, op13_divergence_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
     """For the others SQL has no hashed signatures, trained models, xxhash64 or byte-pair merges, or is too slow."""
-    return {"op1_chat_formatting": oracles.OP1, "op3_sharding": oracles.op3(SHARDS), "op4_url_filter": oracles.op4(RULES, REPORTED), "op5_decontamination": oracles.OP5}
+    return {"op1_chat_formatting": oracles.OP1, "op3_sharding": oracles.op3(SHARDS), "op4_url_filter": oracles.op4(RULES, REPORTED), "op5_decontamination": oracles.OP5, "op11_source_mixing": oracles.OP11, "op13_divergence_audit": oracles.OP13}
