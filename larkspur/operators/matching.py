@@ -190,17 +190,29 @@ def pg_trigrams(norm: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(text.tokens(norm), one)))
 
 
+def _rarest(texts: DataFrame, counts: DataFrame, least: float) -> DataFrame:
+    """(text, n, gram): of each text's grams the rarest ones, as many as leave fewer than the least share of them."""
+    every = texts.select("text", F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(counts, "gram", "left")
+    k = F.row_number().over(Window.partitionBy("text").orderBy(F.coalesce("names", F.lit(0)), "gram"))
+    return every.withColumn("k", k).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("text", "n", "gram")
+
+
 def trigram_search(queries: DataFrame, names: DataFrame, similarity: float) -> DataFrame:
-    """(query, name, similarity) of the distinct names that are similar enough: an inverted index as an equi-join.
+    """(query, name, similarity) of the distinct names that are similar enough.
 
-    queries: query; names: name. Sizes bound the overlap from above, so pairs that can't reach the similarity are dropped by
-    the join's own condition; overlaps are summed in the map tasks.
+    queries: query; names: name. A prefix filter: texts that are similar share that part of their trigrams of either, so they
+    share one of the rarest n - ceil(similarity n) + 1 of both, in one order of all trigrams by the names that have them. Only
+    those are joined; frequent trigrams are left to the exact test of the pairs.
     """
-    q = queries.select("query").distinct().withColumn("g", pg_trigrams(F.col("query"))).select("query", F.size("g").alias("n_query"), F.explode("g").alias("gram"))
-    n = names.select("name").distinct().withColumn("g", pg_trigrams(F.col("name"))).select("name", F.size("g").alias("n_name"), F.explode("g").alias("gram"))
-    fits = (q.gram == n.gram) & (F.least("n_query", "n_name") >= similarity * F.greatest("n_query", "n_name"))
-    both = q.join(n, fits).groupBy("query", "name", "n_query", "n_name").agg(F.count("*").alias("both"))
-    return both.select("query", "name", F.round(F.col("both") / (F.col("n_query") + F.col("n_name") - F.col("both")), 6).alias("similarity")).where(F.col("similarity") >= similarity)
+    texts = lambda df, c: df.select(F.col(c).alias("text")).distinct().withColumn("grams", pg_trigrams(F.col("text")))
+    q, n, least = texts(queries, "query"), texts(names, "name"), similarity - 1e-6
+    counts = n.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("names"))
+    left, right = _rarest(q, counts, least).withColumnsRenamed({"text": "query", "n": "n_query"}), _rarest(n, counts, least).withColumnsRenamed({"text": "name", "n": "n_name"})
+    fits = F.least("n_query", "n_name") >= least * F.greatest("n_query", "n_name")
+    pairs = left.join(right, "gram").where(fits).select("query", "name").distinct()
+    both = pairs.join(q.withColumnsRenamed({"text": "query", "grams": "a"}), "query").join(n.withColumnsRenamed({"text": "name", "grams": "b"}), "name")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.select("query", "name", F.round(shared / (F.size("a") + F.size("b") - shared), 6).alias("similarity")).where(F.col("similarity") >= similarity)
 
 
 # --- queries ---
