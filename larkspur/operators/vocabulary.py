@@ -128,9 +128,9 @@ def parse_wine_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Titles, vocabulary and tokens by plain SQL; then each title's hits are walked one by one, with the used tokens as bits.
-NAMES_SQL = r"""
+TITLES_SQL = r"""
 letters AS (SELECT p_partkey, p_name, split_part(p_name, ' ', 1) AS first, split_part(p_name, ' ', -1) AS last, CAST(regexp_extract(p_brand, '[0-9]+$') AS INTEGER) AS n,
-    chr(96 + CAST(regexp_extract(p_brand, '[0-9]+$') AS INTEGER)) AS letter, lower(p_type) AS style FROM part),
+    chr(96 + CAST(regexp_extract(p_brand, '[0-9]+$') AS INTEGER)) AS letter, upper(p_type[1]) || lower(p_type[2:]) AS style FROM part),
 written AS (
   SELECT variant_id, shop_id, CASE shop_id % 8
     WHEN 0 THEN 'Brand ' || letter || ' ' || p_name || ' ' || year || ' 0,75 l'
@@ -143,17 +143,20 @@ written AS (
     ELSE 'House of ' || letter || ' ' || last || ' &amp; widget ' || first || ' Old Cellar ' || year || ' ' || (2001 + variant_id % 12) END AS title
   FROM (SELECT DISTINCT l_partkey AS variant_id, l_suppkey AS shop_id, CAST(2000 + l_partkey % 12 AS VARCHAR) AS year FROM lineitem)
   JOIN letters ON p_partkey = variant_id JOIN supplier ON s_suppkey = shop_id JOIN nation ON n_nationkey = s_nationkey
-  JOIN (SELECT r_regionkey, lower(r_name) AS region FROM region) ON r_regionkey = n_regionkey),
-vocab AS (
+  JOIN (SELECT r_regionkey, array_to_string(list_transform(string_split(lower(r_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS region FROM region) ON r_regionkey = n_regionkey),
+"""
+PHRASES_SQL = r"""
+phrases AS (
   SELECT DISTINCT id, slot, rank, name, phrase, owner FROM (
     SELECT 'p-' || letter AS id, 'producer' AS slot, 1 AS rank, 'Brand ' || letter AS name, unnest(['brand ' || letter, letter || ' brand', 'house of ' || letter]) AS phrase, NULL AS owner FROM letters
     UNION ALL SELECT 'v-' || first || '-' || letter, 'vineyard', 2, upper(first[1]) || first[2:], first, 'p-' || letter FROM letters WHERE n % 2 = 0
     UNION ALL SELECT 'r-' || lower(r_name), 'region', 3, r_name, lower(r_name), NULL FROM region
     UNION ALL SELECT 'g-' || last, 'grape', 4, last, unnest([last, last || 's']), NULL FROM letters
-    UNION ALL SELECT 's-' || style, 'style', 5, style, unnest([style, style || ' class']), NULL FROM letters)),
+    UNION ALL SELECT 's-' || lower(style), 'style', 5, lower(style), unnest([lower(style), lower(style) || ' class']), NULL FROM letters)),
 """
-ORACLE = rf"""
-WITH RECURSIVE {NAMES_SQL}
+NAMES_SQL = TITLES_SQL + PHRASES_SQL
+#: Needs written(title) and vocab.
+WALK_SQL = r"""
 parts AS (
   SELECT title, list_filter(list_transform(string_split(regexp_replace(lower(strip_accents(replace(title, '&amp;', '&'))), '[^a-z0-9%.,]+', ' ', 'g'), ' '),
     lambda x: CASE WHEN regexp_full_match(x, '[0-9.,%]+') THEN x ELSE trim(x, '.,') END), lambda x: x <> '') AS t FROM (SELECT DISTINCT title FROM written)),
@@ -183,6 +186,9 @@ walk AS (
     FROM walk w JOIN listed h ON h.title = w.title AND h.k = w.k + 1)),
 last AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY k DESC) AS z FROM walk),
 rest AS (SELECT s.title, string_agg(s.t[s.i], ' ' ORDER BY s.i) FILTER (WHERE l.used & (1::BIGINT << (s.i - 1)) = 0) AS expression FROM sizes s JOIN last l ON l.title = s.title AND l.z = 1 GROUP BY s.title)
+"""
+ORACLE = rf"""
+WITH RECURSIVE {NAMES_SQL} vocab AS (SELECT * FROM phrases), {WALK_SQL}
 SELECT variant_id, shop_id, producer, vineyard, region, style, array_to_string(list_sort(grapes), '+') AS grapes, vintage, expression,
   array_to_string(list_transform(list_sort(list_transform(matches, lambda m: [lpad(split_part(m, ':', 1), 3, '0'), m])), lambda m: m[2]), ',') AS matches, array_to_string(list_sort(ambiguous), ',') AS ambiguous
 FROM written JOIN last USING (title) JOIN begun USING (title) JOIN rest USING (title) WHERE z = 1"""
