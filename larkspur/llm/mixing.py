@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import dropped, running, written
+from larkspur.llm.common import running, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: A source gives at most so many times its words.
@@ -115,7 +115,8 @@ def mix(docs: DataFrame, weights: Sequence[float], *, doc_id: str = "doc_id", te
     i, t = F.col(f"`{doc_id}`"), F.col(f"`{text}`").cast("string")
     # md5 is what SQL engines share
     key = F.md5(F.concat(F.coalesce(i.cast("string"), F.lit("")), F.lit(" "), F.coalesce(t, F.lit(""))).cast("binary"))
-    sized = docs.select(i.alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), word_count(t).alias("size"), key.alias("key"))
+    # written first: dealing by ranges reads its input twice, and texts are to be read once
+    sized = written(docs.select(i.alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), word_count(t).alias("size"), key.alias("key")), "sized")
     streams = written(running(sized, ["key"], {"start": F.col("size")}, group=("source",)), "streams")
     plan = written(targets(streams, weights, repeats=repeats, block_words=block_words), "targets")
     words = streams.agg(F.sum("size")).first()[0] or 0
