@@ -7,18 +7,21 @@ and a reader takes the latest row of each key.
 
 from __future__ import annotations
 
+import bisect
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 #: Events later than this behind the latest one are dropped from windows and de-duplication.
 DELAY, WINDOW = "1 hour", "6 hours"
+#: A key's state is kept so long after its last row; LONG_DAYS is longer than a log.
+EXPIRE_HOURS, LONG_DAYS = 24 * 400, 400
 
 
 def folder(spark: SparkSession) -> str:
@@ -48,25 +51,67 @@ def windowed(events: DataFrame) -> DataFrame:
     return rows.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-_CHANGE = "user_id bigint, event_id bigint, old_price double, new_price double"
-
-
-def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """What differs from the price before, in order of time; the state is the last price."""
-    rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
-    last = state.get[0] if state.exists else None
-    old = rows["value"].shift(1)
-    if last is not None:
-        old.iloc[0] = last
-    state.update((float(rows["value"].iloc[-1]),))
-    changed = (old.isna() | (old != rows["value"])).to_numpy()
-    yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "old_price": old, "new_price": rows["value"]})[changed]
-
-
-def price_changes(events: DataFrame) -> DataFrame:
-    """user_id, event_id, old and new price of each change; a key's first price has no old one. Keys have their state in a store."""
-    rows = events.where("value IS NOT NULL AND user_id IS NOT NULL").select("user_id", "event_id", "at", "value")
-    return rows.groupBy("user_id").applyInPandasWithState(_changes, _CHANGE, "last double", "append", GroupStateTimeout.NoTimeout)
+_CHANGE = "user_id bigint, event_id bigint, old_price double, new_price double, kind string"
+_STATE = "last double, seen bigint, at array<bigint>, id array<bigint>, price array<double>"
+
+
+def _in_order(expire: int):
+    """The function of a key's state: its last price, and the rows that the watermark hasn't passed yet."""
+
+    def changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        watermark = state.getCurrentWatermarkMs() * 1000
+        last, seen, *lists = state.get if state.exists else (None, 0, [], [], [])
+        if state.hasTimedOut and not lists[0] and seen < watermark - expire:
+            state.remove()  # nothing came for so long that the key is forgotten
+            return
+        waiting, out = list(zip(*lists, strict=True)), []
+        if not state.hasTimedOut:
+            for rows in batches:
+                for row in zip(rows["at"].tolist(), rows["event_id"].tolist(), rows["value"].tolist(), strict=True):
+                    if row[0] < watermark:
+                        out.append((key[0], row[1], None, row[2], "late"))
+                    else:
+                        waiting.append(row)
+        waiting.sort()
+        passed = bisect.bisect_left(waiting, (watermark,))
+        for at, event, price in waiting[:passed]:
+            if last is None or price != last or at - seen > expire:
+                out.append((key[0], event, None if at - seen > expire else last, price, "change"))
+            last, seen = price, at
+        waiting = waiting[passed:]
+        state.update((last, seen, *([r[i] for r in waiting] for i in range(3))))
+        wake = waiting[0][0] if waiting else max(seen, watermark) + expire
+        state.setTimeoutTimestamp(max(wake, watermark) // 1000 + 1)
+        if out:
+            yield pd.DataFrame(out, columns=["user_id", "event_id", "old_price", "new_price", "kind"]).astype({"old_price": "float64", "new_price": "float64"})
+
+    return changes
+
+
+def price_changes(events: DataFrame, delay: str = DELAY, expire_hours: int = EXPIRE_HOURS) -> DataFrame:
+    """user_id, event_id, old_price, new_price and kind: change, or late for rows that came after the watermark had passed them.
+
+    Rows wait in their key's state until the watermark, `delay` behind the latest event, has passed them, and are taken in order
+    of time and id, so files may come in any order and be split in any way; a timer takes them when no row of the key follows. A key's
+    first price has no old one. Late rows change nothing and are returned to be counted. A price that comes more than expire_hours
+    after the one before is a first one again, whether or not a timer has removed the key's state.
+    """
+    # a row for the clock and one for its key; without a time of its own the latter isn't dropped before it can be counted
+    kept = F.col("value").isNotNull() & F.col("user_id").isNotNull()
+    both = events.select("user_id", "event_id", F.unix_micros("at").alias("at"), "value", F.explode(F.array(F.col("at"), F.when(kept, F.lit(None)).otherwise(F.col("at")))).alias("clock"))
+    rows = both.withWatermark("clock", delay).where("clock IS NULL")
+    return rows.groupBy("user_id").applyInPandasWithState(_in_order(expire_hours * 3_600_000_000), _CHANGE, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def dealt(rows: DataFrame, where: str, part: Column, parts: int, delay_hours: int) -> str:
+    """Writes rows as files that come one after another, part by part, and a last one that moves the watermark past all."""
+    for k in range(parts):
+        rows.where(part == k).coalesce(1).write.mode("append").parquet(where)
+    end = rows.select(F.lit(-1).cast("long").alias("event_id"), "ts").groupBy("event_id").agg(F.max("ts").alias("ts"))
+    names = {"user_id": "bigint", "event_type": "string", "value": "double", "props": "string"}
+    end = end.select("event_id", (F.col("ts") + F.expr(f"INTERVAL {2 * delay_hours} HOURS")).alias("ts"), *[F.lit(None).cast(t).alias(n) for n, t in names.items()])
+    end.select(*rows.columns).coalesce(1).write.mode("append").parquet(where)
+    return where
 
 
 def run(stream: DataFrame, mode: str, keys: list[str], where: str | None = None) -> DataFrame:
@@ -100,14 +145,35 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(windowed(_events(spark, sf_dir)), "update", ["start", "event_type"])
 
 
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema(SCHEMA).parquet(f"{sf_dir}/events.parquet")
+
+
 def stream_price_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(price_changes(_events(spark, sf_dir)), "append", ["user_id", "event_id"])
+    """The log dealt at random to four files, so that each covers all times; the delay covers the log."""
+    log = dealt(_rows(spark, sf_dir), f"{folder(spark)}/log", F.pmod(F.hash("event_id"), F.lit(4)), 4, 24 * LONG_DAYS)
+    out = run(price_changes(read_events(spark, log, 1), f"{LONG_DAYS} days"), "append", ["user_id", "event_id"])
+    return out.where("kind = 'change'").drop("kind")
+
+
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log in two files, the later half of ids first: late rows of each user, and changes that could be told."""
+    log = dealt(_rows(spark, sf_dir), f"{folder(spark)}/log", F.pmod(F.col("event_id"), F.lit(2)), 2, 1)
+    out = run(price_changes(read_events(spark, log, 1), DELAY, 24 * LONG_DAYS), "append", ["user_id", "event_id"])
+    return out.groupBy("user_id").agg(F.count_if(F.col("kind") == "late").alias("late"), F.count_if(F.col("kind") == "change").alias("changes"))
 
 
-QUERIES = {f.__name__: f for f in (stream_dedup, stream_windows, stream_price_changes)}
+QUERIES = {f.__name__: f for f in (stream_dedup, stream_windows, stream_price_changes, stream_late_rows)}
 ORACLES = {
     "stream_dedup": "SELECT DISTINCT event_id, user_id, event_type FROM events",
     "stream_windows": "SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "stream_price_changes": """WITH e AS (SELECT user_id, event_id, lag(value) OVER w AS old_price, value AS new_price, row_number() OVER w AS k FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
         SELECT user_id, event_id, old_price, new_price FROM e WHERE k = 1 OR old_price <> new_price""",
+    "stream_late_rows": """WITH r AS (SELECT * FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL),
+        mark AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR AS edge FROM events WHERE event_id % 2 = 0),
+        kept AS (SELECT * FROM r, mark WHERE event_id % 2 = 0 OR ts >= edge),
+        told AS (SELECT user_id, lag(value) OVER w AS old, value, row_number() OVER w AS k FROM kept WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+        c AS (SELECT user_id, count(*) AS changes FROM told WHERE k = 1 OR old <> value GROUP BY user_id),
+        l AS (SELECT user_id, count(*) AS late FROM r, mark WHERE event_id % 2 = 1 AND ts < edge GROUP BY user_id)
+        SELECT user_id, coalesce(late, 0) AS late, coalesce(changes, 0) AS changes FROM c FULL JOIN l USING (user_id)""",
 }

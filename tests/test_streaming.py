@@ -1,6 +1,9 @@
 """Streams replayed file by file against batches."""
 
+import datetime
+
 import pytest
+from pyspark.sql import functions as F
 
 from larkspur.streaming import events
 
@@ -17,15 +20,52 @@ def split(spark, tmp_path):
     return f"{tmp_path}/log", str(tmp_path)
 
 
-def test_changes_go_on_over_micro_batches(spark, split):
-    log, at = split
-    got = events.run(events.price_changes(events.read_events(spark, log, 1)), "append", ["user_id", "event_id"], f"{at}/run")
-    want = events.stream_price_changes(spark, SF)
-    assert spark.read.parquet(f"{at}/run/out").select("batch").distinct().count() >= 4
-    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
-    # a second run has nothing new and repeats nothing
-    again = events.run(events.price_changes(events.read_events(spark, log, 1)), "append", ["user_id", "event_id"], f"{at}/run")
-    assert again.count() == want.count()
+def batch(rows):
+    """Changes of each user in order of time and id, by hand."""
+    last, out = {}, set()
+    for r in sorted((r for r in rows if r["value"] is not None and r["user_id"] is not None), key=lambda r: (r["ts"], r["event_id"])):
+        if last.get(r["user_id"]) != r["value"]:
+            out.add((r["user_id"], r["event_id"], last.get(r["user_id"]), r["value"]))
+        last[r["user_id"]] = r["value"]
+    return out
+
+
+def told(df, kind="change"):
+    rows = [tuple(r[c] for c in ("user_id", "event_id", "old_price", "new_price")) for r in df.where(f"kind = '{kind}'").collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
+@pytest.mark.parametrize(("part", "parts"), [("pmod(hash(event_id, 7), 5)", 5), ("5 - floor(event_id / 200)", 6), ("floor(event_id / 400)", 3)])
+def test_any_order_of_files_gives_the_batch_result(spark, tmp_path, part, parts):
+    rows = spark.read.parquet(f"{SF}/events.parquet")
+    log = events.dealt(rows, f"{tmp_path}/log", F.expr(part), parts, 24 * 400)
+    go = lambda: events.run(events.price_changes(events.read_events(spark, log, 1), "400 days"), "append", [], f"{tmp_path}/run")
+    got = told(go())
+    assert len(list((tmp_path / "run/checkpoint/commits").glob("[0-9]*"))) >= parts
+    assert got == batch(rows.collect())
+    assert told(go()) == got  # a second run has nothing new and repeats nothing
+
+
+def test_late_rows_are_counted_and_change_nothing(spark, tmp_path):
+    rows = spark.read.parquet(f"{SF}/events.parquet")
+    log = events.dealt(rows, f"{tmp_path}/log", F.expr("1 - floor(event_id / 500)"), 2, 1)
+    out = events.run(events.price_changes(events.read_events(spark, log, 1)), "append", [])
+    every = rows.collect()
+    edge = max(r["ts"] for r in every if r["event_id"] >= 500) - datetime.timedelta(hours=1)
+    edge = edge.replace(microsecond=edge.microsecond // 1000 * 1000)
+    late = [r for r in every if r["event_id"] < 500 and r["ts"] < edge and r["value"] is not None and r["user_id"] is not None]
+    assert {x[1] for x in told(out, "late")} == {r["event_id"] for r in late} and len(late) > 100
+    assert told(out) == batch([r for r in every if r not in late])
+
+
+def test_states_expire(spark, tmp_path):
+    days = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=n)
+    rows = [(1, days(0), 7, "x", 5.0, ""), (2, days(1), 8, "x", 6.0, ""), (3, days(30), 9, "x", 1.0, ""), (4, days(31), 9, "x", 1.0, ""), (5, days(60), 7, "x", 5.0, ""), (6, days(60), 9, "x", 1.0, ""), (7, days(60), None, "x", 1.0, ""), (8, days(60), 9, "x", None, "")]
+    log = events.dealt(spark.createDataFrame(rows, events.SCHEMA), f"{tmp_path}/log", F.col("event_id") - 1, 8, 1)
+    got = told(events.run(events.price_changes(events.read_events(spark, log, 1), "1 hour", 24 * 40), "append", []))
+    # user 7 was forgotten after 40 days, user 9 wasn't
+    assert got == {(7, 1, None, 5.0), (8, 2, None, 6.0), (9, 3, None, 1.0), (7, 5, None, 5.0)}
 
 
 def test_windows_over_micro_batches(spark, split):
