@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import decode_entities
+from larkspur.functions.text import deaccent, decode_entities
 
 # Path segments that name a product or an archive, and parts of URLs that are neither.
 PRODUCT_SEGMENTS = ["termek", "termekek", "product", "products", "item", "bolt-termek"]
@@ -19,13 +19,24 @@ OTHER_PARTS = [
 ]
 # What an availability URL of structured data contains, and its state; the first that fits counts.
 AVAILABILITY = [("instock", "in_stock"), ("limitedavailability", "in_stock"), ("outofstock", "out_of_stock"), ("soldout", "out_of_stock"), ("preorder", "preorder"), ("backorder", "backorder"), ("discontinued", "discontinued")]
-# Patterns of pages that are no product page, in the order in which they are tried.
-VERDICTS = [
-    ("challenge", r"(?i)cf-browser-verification|cf_chl_|challenge-platform|__cf_chl|<title>[^<]*just a moment[^<]*</title>|attention required!?\s*\|\s*cloudflare|_incap_ses_|incapsula incident id|<title>[^<]*(?:access denied|hozzaferes megtagadva)[^<]*</title>"),
-    ("age_gate", r"(?i)elmultam\s*18|betoltotted\s*a\s*18|are you (?:over|at least)\s*(?:18|21)|age\s*verification|age[- ]gate|eletkor.{0,20}ellenorz"),
-    ("login", r"(?i)<form[^>]*(?:login|bejelentkez|signin)|kerjuk,?\s*jelentkezzen\s*be|please\s*(?:log\s*in|sign\s*in)\s*to\s*(?:view|see)"),
-    ("soft_404", r"(?i)a\s*keresett\s*oldal\s*nem\s*talalhato|nem\s*talalhato\s*a\s*termek|\b404\b.{0,40}(?:not found|nem talalhato)|page\s*not\s*found|product\s*(?:not\s*found|no\s*longer\s*available)|<title>[^<]*(?:404|nem talalhato|not found)[^<]*</title>"),
+# Signs of pages that aren't what was asked for, in the order in which they are tried: verdict, where the sign counts, and
+# its pattern, without accents. `any`: on every page; `shell`: on pages without content; `gate`: there, if no product is named either.
+SIGNS = [
+    ("challenge", "any", r"cf-browser-verification|cf_chl_|challenge-platform|__cf_chl"), ("challenge", "any", r"<title>[^<]*just a moment[^<]*</title>"),
+    ("challenge", "any", r"attention required!?\s*\|\s*cloudflare"), ("challenge", "any", r"_incap_ses_|incapsula incident id"),
+    ("challenge", "any", r"<title>[^<]*(?:access denied|hozzaferes megtagadva)[^<]*</title>"),
+    ("challenge", "shell", r"g-recaptcha|grecaptcha|h-captcha|hcaptcha|cf-turnstile"), ("challenge", "shell", r"\bcaptcha\b"),
+    ("age_gate", "gate", r"elmultam\s*18|betoltotted\s*a\s*18"), ("age_gate", "gate", r"are you (?:over|at least)\s*(?:18|21)|age\s*verification|age[- ]gate"),
+    ("age_gate", "gate", r"eletkor.{0,20}ellenorz"),
+    ("login_required", "gate", r"<form[^>]*(?:login|bejelentkez|signin)"), ("login_required", "gate", r"kerjuk,?\s*jelentkezzen\s*be|please\s*(?:log\s*in|sign\s*in)\s*to\s*(?:view|see)"),
+    ("soft_404", "any", r"a\s*keresett\s*oldal\s*nem\s*talalhato|nem\s*talalhato\s*a\s*termek"), ("soft_404", "any", r"\b404\b.{0,40}(?:not found|nem talalhato)"),
+    ("soft_404", "any", r"page\s*not\s*found|product\s*(?:not\s*found|no\s*longer\s*available)"), ("soft_404", "any", r"<title>[^<]*(?:404|nem talalhato|not found)[^<]*</title>"),
 ]
+FIRST_SOFT = next(p for v, _, p in SIGNS if v == "soft_404")
+# A page with less visible text than this, and without structured data, is a shell; what counts as such data and as a product.
+SHELL = 400
+STRUCTURED = r'(?i)"@type"\s*:\s*"(?:Product|ItemList|WebSite|Organization)"|__NEXT_DATA__|window\.__NUXT__'
+PRODUCT_SIGNAL = r'(?i)"@type"\s*:\s*"Product"|itemtype="[^"]*schema\.org/Product'
 
 
 def strip_tags(html: Column) -> Column:
@@ -159,18 +170,30 @@ def robots_allow(url_path: Column, rules: list[tuple[bool, str]]) -> Column:
     return out
 
 
-def verdict(status: Column, html: Column) -> Column:
-    """blocked, rate_limited, server_error, not_found, empty, challenge, age_gate, login, soft_404 or ok."""
-    plain = F.translate(F.lower(F.coalesce(html, F.lit(""))), "áéíóöőúüű", "aeiooouuu")
-    out = F.lit("ok")
-    for name, pattern in reversed(VERDICTS):
-        out = F.when(plain.rlike(pattern), name).otherwise(out)
-    return (
-        F.when(status == 429, "rate_limited").when(status.isin(401, 403), "blocked").when(status.isin(404, 410), "not_found").when(status >= 500, "server_error")
-        .when(F.trim(plain) == "", "empty").otherwise(out)
-    )
-
-
-def is_disappearance(page_verdict: Column) -> Column:
-    """Only pages that are gone are evidence that a product is; codes that aren't known are none."""
-    return page_verdict.isin("not_found", "soft_404")
+def visible_length(html: Column) -> Column:
+    """Characters of a page's text: scripts and styles go, tags are blanks, blanks are joined; entities stay as they are."""
+    bare = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1>", "")
+    return F.length(F.trim(F.regexp_replace(F.regexp_replace(bare, "<[^>]+>", " "), r"\s+", " ")))
+
+
+def verdicts(pages: DataFrame, *, status: str = "status", html: str = "html", content_type: str | None = None) -> DataFrame:
+    """pages with verdict: rate_limited, challenge, age_gate, login_required, soft_404, empty_shell or ok; and gone.
+
+    429 is rate_limited; 401, 403 and 5xx are challenges. What is neither HTML by its type nor begins with `<` is ok otherwise. A login
+    form, an age question or a captcha counts on a shell only, the first two only if no product is named: most shop pages have such a
+    form. 404 counts as soft_404 unless a sign before it is met. Whole pages are searched. gone: soft_404, or 410 without
+    a sign of another kind; codes that aren't known are no evidence. Null pages are empty, a null status says nothing.
+    """
+    code, body = F.coalesce(F.col(f"`{status}`"), F.lit(0)), F.coalesce(F.col(f"`{html}`"), F.lit(""))
+    typed = F.contains(F.coalesce(F.col(f"`{content_type}`"), F.lit("")), F.lit("html")) if content_type else F.lit(False)
+    rows = pages.drop("verdict", "gone").withColumns({"_code": code, "_html": typed | F.ltrim(body).startswith("<"), "_plain": F.lower(deaccent(body)), "_product": body.rlike(PRODUCT_SIGNAL), "_shell": (visible_length(body) < SHELL) & ~body.rlike(STRUCTURED)})
+    where = {"any": F.lit(True), "shell": F.col("_shell"), "gate": F.col("_shell") & ~F.col("_product")}
+    out = F.when(F.col("_shell"), "empty_shell").otherwise("ok")
+    for name, kind, pattern in reversed(SIGNS):
+        out = F.when(where[kind] & F.col("_plain").rlike(pattern), name).otherwise(out)
+        if pattern == FIRST_SOFT:
+            out = F.when(F.col("_code") == 404, "soft_404").otherwise(out)
+    out = F.when(F.col("_code") == 429, "rate_limited").when(F.col("_code").isin(401, 403) | (F.col("_code") >= 500), "challenge").when(~F.col("_html"), "ok").otherwise(out)
+    judged = rows.withColumn("verdict", out).drop("_html", "_plain", "_product", "_shell")
+    gone = (F.col("verdict") == "soft_404") | ((F.col("_code") == 410) & F.col("verdict").isin("ok", "empty_shell"))
+    return judged.withColumn("gone", gone).drop("_code")

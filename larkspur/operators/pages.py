@@ -77,14 +77,20 @@ def robots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", p.alias("path"), web.robots_allow(p, web.robots_rules(ROBOTS, "PriceAgent/2.0")).alias("named"), web.robots_allow(p, web.robots_rules(ROBOTS, "crawler")).alias("other"))
 
 
-def page_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What became of each fetch: pages with a made-up status and, for some, the marks of other pages; and what is evidence."""
-    marks = F.array(*map(F.lit, ("", "<title>Just a moment...</title>", "Elmúltam 18 éves", '<form action="/login">', "A keresett oldal nem található", "Product no longer available", "page")))
+def fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, status, type and html of made-up fetches: the pages, or nearly empty ones, with the marks of other kinds of pages."""
+    marks = F.array(*map(F.lit, ("", "<title>Just a moment...</title>", "Elmúltam 18 éves", '<form action="/login">', "A keresett oldal nem található", "Product no longer available", '<div class="g-recaptcha">')))
     codes = F.array(*map(F.lit, (200, 200, 200, 200, 200, 404, 429, 403, 503, 410, 200)))
     k = F.col("page_id")
-    rows = table(spark, sf_dir, "pages").select("page_id", F.get(codes, (k % 11).cast("int")).alias("status"), F.when(k % 23 == 0, "").otherwise(F.concat(F.coalesce("html", F.lit("")), F.get(marks, (k % 7).cast("int")))).alias("h"))
-    v = web.verdict(F.col("status"), F.col("h"))
-    return rows.select("page_id", "status", v.alias("verdict"), web.is_disappearance(v).alias("gone"))
+    own = F.when(k % 3 == 0, F.lit("<html><body>")).otherwise(F.coalesce("html", F.lit("")))
+    named = F.when(k % 5 == 0, F.lit('<script>{"@type": "Product"}</script>')).when(k % 5 == 1, F.lit('<p itemtype="https://schema.org/Product">')).otherwise("")
+    html = F.when(k % 23 == 0, "").when(k % 13 == 0, "{}").otherwise(F.concat(own, F.get(marks, (k % 7).cast("int")), named))
+    return table(spark, sf_dir, "pages").select("page_id", F.get(codes, (k % 11).cast("int")).alias("status"), F.when(k % 13 == 0, "application/json").otherwise("text/html").alias("type"), html.alias("html"))
+
+
+def page_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each fetch, and what is evidence that a product is gone."""
+    return web.verdicts(fetches(spark, sf_dir), content_type="type").select("page_id", "status", "verdict", "gone")
 
 
 QUERIES = {f.__name__: f for f in (page_titles, page_structure, page_products, product_urls, robots, page_verdicts)}
@@ -93,7 +99,6 @@ _TEXT = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(reg
 _TITLE = r"regexp_extract(html, '(?is)<title(?:\s[^>]*)?>(.*?)</title>', 1)"
 _segments = "string_split(lower(regexp_extract(u, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)', 1)), '/')"
 _other = " OR ".join(f"contains(lower(u), '{p}')" for p in web.OTHER_PARTS)
-_plain = "translate(lower(h), 'áéíóöőúüű', 'aeiooouuu')"
 ORACLES = {
     "page_titles": rf"""SELECT page_id, CASE WHEN regexp_matches(html, '(?is)<title') THEN {_TEXT.format(_TITLE)} END AS title,
         len(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*"([^"]+)"', 1)) AS n_links, array_to_string(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*"([^"]+)"', 1), ' ') AS links, md5({_TEXT.format('html')}) AS text_md5 FROM pages""",
@@ -107,9 +112,13 @@ ORACLES = {
     "robots": """WITH p AS (SELECT page_id, regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)', 1) AS path FROM pages WHERE url IS NOT NULL)
         SELECT page_id, path, CASE WHEN starts_with(path, '/de/4') THEN true ELSE NOT starts_with(path, '/de/') END AS named,
         CASE WHEN starts_with(path, '/en/12') THEN true WHEN starts_with(path, '/en/1') THEN false ELSE NOT regexp_matches(path, '^/.*/7$') END AS other FROM p""",
-    "page_verdicts": rf"""WITH r AS (SELECT page_id, [200, 200, 200, 200, 200, 404, 429, 403, 503, 410, 200][1 + page_id % 11] AS status, CASE WHEN page_id % 23 = 0 THEN '' ELSE coalesce(html, '') ||
-          ['', '<title>Just a moment...</title>', 'Elmúltam 18 éves', '<form action="/login">', 'A keresett oldal nem található', 'Product no longer available', 'page'][1 + page_id % 7] END AS h FROM pages),
-        v AS (SELECT page_id, status, CASE WHEN status = 429 THEN 'rate_limited' WHEN status = 403 THEN 'blocked' WHEN status IN (404, 410) THEN 'not_found' WHEN status >= 500 THEN 'server_error' WHEN trim(h) = '' THEN 'empty'
-          WHEN regexp_matches({_plain}, '{web.VERDICTS[0][1]}') THEN 'challenge' WHEN regexp_matches({_plain}, '{web.VERDICTS[1][1]}') THEN 'age_gate' WHEN regexp_matches({_plain}, '{web.VERDICTS[2][1]}') THEN 'login' WHEN regexp_matches({_plain}, '{web.VERDICTS[3][1]}') THEN 'soft_404' ELSE 'ok' END AS verdict FROM r)
-        SELECT *, verdict IN ('not_found', 'soft_404') AS gone FROM v""",
+    # what the marks mean, without the library's patterns; the pages themselves have none of them
+    "page_verdicts": """WITH r AS (
+          SELECT page_id, [200, 200, 200, 200, 200, 404, 429, 403, 503, 410, 200][1 + page_id % 11] AS status, page_id % 7 AS mark, page_id % 23 = 0 AS empty, page_id % 13 = 0 AS json,
+            page_id % 3 = 0 OR page_id % 23 = 0 OR length(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<(script|style)[^>]*>.*?</(script|style)>', '', 'gs'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) < 340 AS thin,
+            page_id % 23 <> 0 AND page_id % 5 = 0 AS structured, page_id % 23 <> 0 AND page_id % 5 < 2 AS product FROM pages),
+        v AS (SELECT page_id, status, CASE WHEN status = 429 THEN 'rate_limited' WHEN status IN (403, 503) THEN 'challenge' WHEN json THEN 'ok' WHEN NOT empty AND mark = 1 THEN 'challenge'
+            WHEN NOT empty AND mark = 6 AND thin AND NOT structured THEN 'challenge' WHEN NOT empty AND mark = 2 AND thin AND NOT product THEN 'age_gate' WHEN NOT empty AND mark = 3 AND thin AND NOT product THEN 'login_required'
+            WHEN status = 404 OR NOT empty AND mark IN (4, 5) THEN 'soft_404' WHEN thin AND NOT structured THEN 'empty_shell' ELSE 'ok' END AS verdict FROM r)
+        SELECT *, verdict = 'soft_404' OR status = 410 AND verdict IN ('ok', 'empty_shell') AS gone FROM v""",
 }
