@@ -8,7 +8,6 @@ and a reader takes the latest row of each key.
 from __future__ import annotations
 
 import bisect
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from larkspur.shared import shared_dir
+
 SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 #: Events later than this behind the latest one are dropped from windows and de-duplication.
 DELAY, WINDOW = "1 hour", "6 hours"
@@ -25,13 +26,8 @@ EXPIRE_HOURS, LONG_DAYS = 24 * 400, 400
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; of one's own only where the session names none and runs locally."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="larkspur-stream-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    """A new folder in the shared one."""
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def read_events(spark: SparkSession, path: str, files: int = 100) -> DataFrame:
