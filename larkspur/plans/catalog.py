@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("larkspur.operators.market", "larkspur.operators.names", "larkspur.operators.history", "larkspur.operators.relations", "larkspur.operators.matching", "larkspur.operators.pages", "larkspur.operators.vocabulary", "larkspur.operators.retrieval", "larkspur.operators.producers", "larkspur.operators.prices", "larkspur.operators.sitemaps", "larkspur.streaming.events")
+MODULES = ("larkspur.operators.market", "larkspur.operators.names", "larkspur.operators.history", "larkspur.operators.relations", "larkspur.operators.matching", "larkspur.operators.pages", "larkspur.operators.vocabulary", "larkspur.operators.retrieval", "larkspur.operators.producers", "larkspur.operators.prices", "larkspur.operators.sitemaps", "larkspur.operators.decisions", "larkspur.streaming.events")
 
 
 def queries() -> dict:
