@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import pre_tokenizers
 
+from larkspur.llm.common import held
+
 #: The split pattern of byte-level pre-tokenizers with use_regex.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Up to here the Unicode tables of all libraries agree on letters, numbers and white space.
@@ -146,6 +148,7 @@ class ByteBPE:
             self.matcher.add_word(v.names[at : at + n].decode("latin-1"), i)
             at += n
         self.matcher.make_automaton()
+        self.most = max(self.lengths)
         #: The pair-compatibility table: what was found last for the pairs of each slot, as the pair's number << 1 | compatible.
         self.compatible = array("Q", bytes(8 * _SLOTS))
         self.pattern = regex.compile(PATTERN)
@@ -184,7 +187,8 @@ class ByteBPE:
         dead = bytearray(n + 1)
         out: list[int] = []
         at, last = 0, _NONE
-        take = next(longest(letters))[1] if n else _NONE
+        most, bounded = self.most, n > self.most
+        take = next(longest(letters[:most]))[1] if n else _NONE
         while at < n:
             while take != _NONE and (dead[at + lengths[take]] or last != _NONE and not stays(last, take)):
                 take = shorter[take]
@@ -192,7 +196,8 @@ class ByteBPE:
                 out.append(take)
                 at += lengths[take]
                 last = take
-                take = next(longest(letters, at))[1] if at < n else _NONE
+                # in a long word no further than the longest token reaches: the matcher prepares all that it is given
+                take = next(longest(letters[at : at + most]) if bounded else longest(letters, at))[1] if at < n else _NONE
             else:
                 dead[at] = 1
                 take = out.pop()
@@ -275,15 +280,9 @@ class ByteBPE:
         return data
 
 
-_built: dict[str, ByteBPE] = {}
-
-
 def built(vocabulary: Vocabulary) -> ByteBPE:
     """The encoder of a vocabulary, built once in each Python worker."""
-    if vocabulary.key not in _built:
-        _built.clear()
-        _built[vocabulary.key] = ByteBPE(vocabulary)
-    return _built[vocabulary.key]
+    return held(vocabulary.key, lambda: ByteBPE(vocabulary))
 
 
 def _parts(column: pa.Array) -> Iterator[list]:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -80,6 +82,21 @@ def _drop_all() -> None:
             pass
 
 
+_held: dict[str, object] = {}
+
+
+def held(key: str, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from batch to batch: one thing, of whatever operator used it last.
+
+    Workers outlive a stage; what an earlier operator had there goes before the next one makes its own.
+    """
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        _held[key] = make()
+    return _held[key]
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z; every other character stays."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

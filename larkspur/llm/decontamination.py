@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import written
+from larkspur.llm.common import held, written
 
 WINDOW = 13
 #: Words of benchmark items in one automaton, at most: each word starts a window of some 90 bytes of automaton nodes.
@@ -105,15 +105,9 @@ def _scan(text: str | None, automata: list[Windows], earlier: dict | None = None
     return {"n_words": len(words), "n_hit": int(hit.sum()), "items": sorted(items), "spans": _spans(text, hit)}
 
 
-_built: dict[str, list[Windows]] = {}
-
-
 def _automata(blocks: list[list[tuple[str, str]]], window: int) -> list[Windows]:
     key = hashlib.sha256(repr((blocks, window)).encode()).hexdigest()
-    if key not in _built:
-        _built.clear()
-        _built[key] = [Windows(b, window) for b in blocks]
-    return _built[key]
+    return held(key, lambda: [Windows(b, window) for b in blocks])
 
 
 def benchmark_items(benchmark: DataFrame, *, item_id: str = "item_id", text: str = "text") -> DataFrame:

@@ -8,6 +8,7 @@ what held-back documents of that language have (a quantile for each language, an
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.charlm import SortedModel, kneser_ney
+from larkspur.llm.common import held
 
 ORDER = 5
 #: Labelled documents of a language to fit on, about, and to calibrate on.
@@ -84,11 +86,11 @@ class _Scorer:
 
 
 def predicted(text: Column, spark, fitted: LanguageModel) -> Column:
-    shared = spark.sparkContext.broadcast(fitted)
+    shared, key = spark.sparkContext.broadcast(fitted), f"language-{uuid.uuid4().hex}"
 
     @F.arrow_udf(RESULT)
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scorer = _Scorer(shared.value)
+        scorer = held(key, lambda: _Scorer(shared.value))
         kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("entropy", pa.float64()), ("chars", pa.int64()), ("rejected", pa.bool_())])
         for batch in batches:
             rows: list[dict] = []

@@ -204,3 +204,23 @@ def test_line_variants_are_all_deletions_and_open_places():
             seen[line] = set(keys[kinds == 1].tolist())
             whole = list(line_dedup._neighbourhood(line[1:]))[-1][0]
             assert int(whole[0]) in seen[line]
+
+
+def test_bpe_is_linear_in_the_length_of_a_word():
+    """A million letters without a space, and a third of a million CJK characters, against the library and the clock."""
+    import random
+    import time
+
+    from tokenizers import Tokenizer
+
+    path = registry.tokenizer_path()
+    own, library, rnd = bpe.built(bpe.read_vocabulary(path)), Tokenizer.from_file(path), random.Random(4)
+    seconds = []
+    for text in ("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=250_000)), "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000)), "".join(chr(rnd.randrange(0x4E00, 0x9FA5)) for _ in range(330_000))):
+        start = time.process_time()
+        ids = np.frombuffer(own.encode(text), "<u4").tolist()
+        seconds.append(time.process_time() - start)
+        if len(text) < 300_000:
+            assert ids == library.encode(text, add_special_tokens=False).ids
+        assert own.decode(np.array(ids, "<u4").tobytes()).decode() == text
+    assert seconds[1] < 8 * seconds[0] + 1 and seconds[2] < 30  # four times the text
