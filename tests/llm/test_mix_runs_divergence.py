@@ -190,10 +190,34 @@ def brute_audit(rows, least, top=50):
     return out
 
 
-@pytest.mark.parametrize("limits", [(10**6, 10**6, 1024), (40, 60, 3)])
-def test_audit_by_brute_force(spark, monkeypatch, limits):
-    for name, value in zip(("WORDS", "LEAVES", "BLOCK"), limits, strict=True):
+def test_tries_written_out_early_merge_to_the_same(monkeypatch):
+    """Tasks that flush their tries after a few words and leaves give, merged in any order, what one task gives."""
+    import pyarrow as pa
+
+    rnd = random.Random(6)
+    terms = [chr(97 + i % 26) * (1 + i // 26) + rnd.choice(["", "é", "日"]) for i in range(80)]
+    rows = [(rnd.choice("xyz"), rnd.choice(["a", "b", "ü"]), " ".join(rnd.choices(terms, k=rnd.randint(0, 12)))) for _ in range(300)]
+    batch = lambda part: pa.RecordBatch.from_pylist([dict(zip(("lang", "source", "text"), r, strict=True)) for r in part])
+
+    def merged(counted):
+        out = defaultdict(list)
+        for b in divergence._merge(3)(iter(counted)):
+            for r in b.to_pylist():
+                assert len(r["terms"]) <= divergence.BLOCK
+                out[r["lang"]].append([(t, sorted((s, n) for k, s, n in zip(r["term"], r["source"], r["n"], strict=True) if k == i)) for i, t in enumerate(r["terms"])])
+        return {lang: sum(blocks, []) for lang, blocks in out.items()}
+
+    whole = merged(divergence._count(iter([batch(rows)])))
+    assert all([t for t, _ in x] == sorted((t for t, _ in x), key=str.encode) for x in whole.values()) and len(whole) == 3
+    for name, value in (("WORDS", 30), ("LEAVES", 25), ("BLOCK", 7)):
         monkeypatch.setattr(divergence, name, value)
+    parts = [b for k in range(3) for b in divergence._count(iter([batch(rows[k::3][:50]), batch(rows[k::3][50:])]))]
+    rnd.shuffle(parts)
+    assert len(parts) > 30 and merged(parts) == whole
+    assert merged([]) == {} and list(divergence._count(iter([]))) == []
+
+
+def test_audit_by_brute_force(spark):
     rnd = random.Random(9)
     vocabulary = ["the", "The", "ÉTÉ", "été", "日本", "z", "ab", "abc", "abd", "b", "\U0001f600x", "ￚ"] + [f"t{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
     rows = [(" ".join(rnd.choices(vocabulary, k=rnd.randint(0, 30))) + " 12 a-b_c", rnd.choice(["en", "EN", None, ""]), rnd.choice(["s1", "s2", "é", None])) for _ in range(90)]
