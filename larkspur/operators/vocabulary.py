@@ -164,9 +164,9 @@ places AS (SELECT title, t, unnest(range(1, len(t) + 1)) AS i FROM parts),
 sizes AS (SELECT *, regexp_full_match(t[i], '(19|20)[0-9][0-9]') AS is_year,
     regexp_full_match(t[i], '[0-9]+([.,][0-9]+)?(ml|cl|dl|l|liter|litre|ltr)?|[0-9]+x[0-9]+([.,][0-9]+)?l?|ml|l|palack|[0-9]+([.,][0-9]+)?%') AS is_measure FROM places),
 begun AS (SELECT title, CAST(coalesce(sum(1::BIGINT << (i - 1)) FILTER (WHERE is_year OR is_measure), 0) AS BIGINT) AS used, CAST(arg_min(t[i], i) FILTER (WHERE is_year) AS INTEGER) AS vintage FROM sizes GROUP BY title),
-hits AS (
+hits AS MATERIALIZED (
   SELECT p.title, p.i - 1 AS pos, len(v.w) AS n, v.* FROM places p JOIN (SELECT *, string_split(phrase, ' ') AS w FROM vocab) v ON v.w[1] = p.t[p.i] AND p.t[p.i : p.i + len(v.w) - 1] = v.w),
-listed AS (
+listed AS MATERIALIZED (
   SELECT *, (((1::BIGINT << n) - 1) << pos) AS own, row_number() OVER (PARTITION BY title ORDER BY round, pos, n DESC, rank, name, id, phrase) AS k
   FROM hits CROSS JOIN (SELECT unnest([1, 2]) AS round)),
 walk AS (
