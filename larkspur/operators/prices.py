@@ -115,6 +115,12 @@ def _pair(html: Column, tag: str) -> Column:
     return first_price(F.array_join(F.transform(web.blocks(html, tag), _strip), " "))
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are made once for each row: behind a generator nothing that reads them is written out again in their place."""
+    made = df.select(F.explode(F.array(F.struct("*", *[c.alias(n) for n, c in columns.items()]))).alias("_made"))
+    return made.select("_made.*")
+
+
 def extract_prices(pages: DataFrame, *, page_id: str = "page_id", html: str = "html") -> DataFrame:
     """page_id, current, method (jsonld, meta or dom), regular, member, coupon, quantity, unit, unit_basis, deposit, mismatch.
 
@@ -124,16 +130,18 @@ def extract_prices(pages: DataFrame, *, page_id: str = "page_id", html: str = "h
     page; null pages have no prices. Columns other than these are left out.
     """
     rows = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("html"))
-    found = rows.select("page_id", F.explode(price_elements(F.col("html"))).alias("e")).select("page_id", "e.*").withColumn("shown", _strip(F.col("inner")))
-    found = found.where((F.length("shown") <= LONGEST) & F.col("shown").rlike(PRICE)).withColumns({"value": first_price(F.col("shown")), "raw": F.regexp_extract("shown", PRICE, 0)})
+    found = rows.select("page_id", F.explode(price_elements(F.col("html"))).alias("e")).select("page_id", "e.*")
+    found = _once(found, shown=_strip(F.col("inner"))).where((F.length("shown") <= LONGEST) & F.col("shown").rlike(PRICE))
+    found = _once(found, digits=F.regexp_extract("shown", PRICE, 1))
     before = F.right(F.regexp_replace(_strip(F.col("before")), rf"(?is)^.*{NUMBER}\s*(?:Ft|HUF|forint)\b", ""), F.lit(BEFORE))
     own, ahead, behind = (_norm(x) for x in (F.concat_ws(" ", "classes", "shown"), before, F.left(_strip(F.col("after")), F.lit(AFTER))))
-    found = found.where(F.col("value").isNotNull() & ~own.rlike(f"{FRAME}|{THRESHOLD}|{LEAST}") & ~ahead.rlike(f"{FRAME}|{LEAST}") & ~behind.rlike(THRESHOLD))
+    found = _once(found, value=F.floor(money.parse_money(F.col("digits")) + 0.5).cast("bigint"), own=own, ahead=ahead, behind=behind)
+    found = found.where((F.col("value") > 0) & ~F.col("own").rlike(f"{FRAME}|{THRESHOLD}|{LEAST}") & ~F.col("ahead").rlike(f"{FRAME}|{LEAST}") & ~F.col("behind").rlike(THRESHOLD))
     context, kind = F.concat_ws(" ", "classes", "shown"), F.lit("current")
     for name, pattern in reversed(KINDS):
         kind = F.when(context.rlike(pattern), name).otherwise(kind)
     order = F.struct(F.array_position(F.array(*map(F.lit, ELEMENTS)), F.col("tag")).alias("t"), "place").alias("order")
-    judged = found.select("page_id", kind.alias("kind"), order, "value", F.when(context.rlike(r"(?i)/\s*l\b|liter"), "liter").otherwise("piece").alias("basis"))
+    judged = _once(found, kind=kind).select("page_id", "kind", order, "value", F.when(context.rlike(r"(?i)/\s*l\b|liter"), "liter").otherwise("piece").alias("basis"))
     first = lambda k: F.min(F.when(F.col("kind") == k, F.struct("order", "value", "basis"))).alias(k)
     shown = judged.groupBy("page_id").agg(*[first(k) for k in ("current", "member", "coupon", "quantity", "unit", "deposit")], F.max(F.when(F.col("kind") == "regular", F.col("value"))).alias("regular"), F.lit(True).alias("has_elements"))
     c = F.col
