@@ -8,7 +8,6 @@ what held-back documents of that language have (a quantile for each language, an
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -86,11 +85,12 @@ class _Scorer:
 
 
 def predicted(text: Column, spark, fitted: LanguageModel) -> Column:
-    shared, key = spark.sparkContext.broadcast(fitted), f"language-{uuid.uuid4().hex}"
+    shared = spark.sparkContext.broadcast(fitted)
 
     @F.arrow_udf(RESULT)
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scorer = held(key, lambda: _Scorer(shared.value))
+        held("language", lambda: None)  # what another operator left in this worker goes; the scorer itself goes with its task
+        scorer = _Scorer(shared.value)
         kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("entropy", pa.float64()), ("chars", pa.int64()), ("rejected", pa.bool_())])
         for batch in batches:
             rows: list[dict] = []
