@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import ids, money, text, units
+from larkspur.shared import once_each
 from larkspur.sources.star import table
 
 ENDINGS = (
@@ -20,7 +21,7 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p_partkey, p_brand and the raw name of each part's listing, with its cleaned and normalized forms."""
     ending = F.get(F.array(*map(F.lit, ENDINGS)), (F.col("p_partkey") % len(ENDINGS)).cast("int"))
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", F.concat_ws(" ", "p_name", ending).alias("raw"))
-    return rows.withColumn("clean", text.clean_text(F.col("raw"))).withColumn("norm", text.search_norm(F.col("raw")))
+    return once_each(rows, ["raw"], lambda t: t.withColumns({"clean": text.clean_text(F.col("raw")), "norm": text.search_norm(F.col("raw"))}))
 
 
 _LIST = "[" + ", ".join("'" + e.replace("'", "''") + "'" for e in ENDINGS) + "]"
@@ -31,7 +32,8 @@ NAMES_SQL = f"""names AS (
 
 
 def search_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return names(spark, sf_dir).select("p_partkey", "clean", "norm", text.retrieval_form(F.col("raw")).alias("retrieval"))
+    rows = once_each(names(spark, sf_dir), ["raw"], lambda t: t.withColumn("retrieval", text.retrieval_form(F.col("raw"))))
+    return rows.select("p_partkey", "clean", "norm", "retrieval")
 
 
 def search_norm_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,18 +44,19 @@ def search_norm_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parse_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return names(spark, sf_dir).select("p_partkey", units.parse_volume(F.col("clean")).alias("v")).select("p_partkey", "v.*")
+    return once_each(names(spark, sf_dir), ["clean"], lambda t: t.withColumn("v", units.parse_volume(F.col("clean")))).select("p_partkey", "v.*")
 
 
 def parse_vintage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = names(spark, sf_dir).select("p_partkey", units.parse_vintage(F.col("clean"), F.col("norm"), YEAR).alias("v"))
+    rows = once_each(names(spark, sf_dir), ["clean", "norm"], lambda t: t.withColumn("v", units.parse_vintage(F.col("clean"), F.col("norm"), YEAR)))
     return rows.select("p_partkey", "v.*")
 
 
 def parse_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packaging, alcohol, age and puttony of each name."""
     c, n = F.col("clean"), F.col("norm")
-    return names(spark, sf_dir).select("p_partkey", units.parse_packaging(n).alias("packaging"), units.parse_abv(c).alias("abv"), units.parse_age(c).alias("age"), units.parse_puttony(n).alias("puttony"))
+    read = {"packaging": units.parse_packaging(n), "abv": units.parse_abv(c), "age": units.parse_age(c), "puttony": units.parse_puttony(n)}
+    return once_each(names(spark, sf_dir), ["clean", "norm"], lambda t: t.withColumns(read)).select("p_partkey", *read)
 
 
 def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
