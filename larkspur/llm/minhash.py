@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.charlm import mix
-from larkspur.llm.common import dropped, written
+from larkspur.llm.common import dropped, held, written
 from larkspur.llm.url_filter import bits, bloom
 
 WORDS, SIMILARITY = 5, 0.8
@@ -36,6 +36,8 @@ BANDS, ROWS = 24, 5
 SHARES = (1 / 16, 1.0)
 #: Bytes of text that are hashed at a time, about.
 CHUNK = 1 << 20
+#: Cells of the table of darts that are thrown at a time: several arrays of that many numbers.
+CELLS = 250_000
 _TURNS = 1 << 20
 #: A text is heavy if one of so many rows is a copy of it; so no more texts than that are.
 HEAVY = 1000
@@ -125,7 +127,7 @@ def _throw(cell: np.ndarray, owned: np.ndarray, limit: np.ndarray) -> Iterator[t
                 k += 1
             continue
         m = int(2**s + 9 * 2 ** (s / 2) + 16)
-        rows = max(1, 2_000_000 // m)
+        rows = max(1, CELLS // m)
         for a in range(0, len(mine), rows):
             part = mine[a : a + rows]
             h = mix(cell[part][:, None], np.arange(m, dtype=np.uint64)[None, :])
@@ -183,6 +185,7 @@ _SIGNED = "id bigint, fa bigint, fb bigint, size int, marks array<bigint>, bands
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held("minhash", dict)  # what an earlier operator kept in this worker goes
     k = BANDS * ROWS
     for batch in batches:
         sizes = np.fromiter((len(x) if x else 0 for x in batch["text"].to_pylist()), np.int64, batch.num_rows)
