@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import ids, money, text, units
-from larkspur.shared import once_each
+from larkspur.shared import once_each, tasks
 from larkspur.sources.star import table
 
 ENDINGS = (
@@ -96,7 +96,7 @@ def comparable_price(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def identity_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identity and canonical keys of each part, and its signature of type words."""
-    rows = table(spark, sf_dir, "part")
+    rows = table(spark, sf_dir, "part").repartition(tasks(spark))  # a small file would be one task
     c = {"platform_product_id": F.col("p_partkey"), "producer_or_brand": F.col("p_brand"), "brand": F.col("p_brand"), "expression": F.col("p_name"), "volume_ml": F.col("p_size") * 25, "pack_count": F.lit(1), "packaging": F.lit("unknown"), "vintage_status": F.lit("unknown")}
     key = {"producer_key": F.col("p_brand"), "style_or_colour": F.col("p_type"), "volume_ml": F.col("p_size") * 25, "pack_count": F.lit(1), "packaging": F.lit("unknown"), "vintage_status": F.lit("unknown")}
     return rows.select("p_partkey", ids.identity_hash(c).alias("identity_hash"), ids.canonical_key(key).alias("canonical_key"), ids.signature(F.split("p_type", " ")).alias("type_signature"))
