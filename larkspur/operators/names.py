@@ -38,7 +38,7 @@ def search_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_norm_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts, normalized; with the number of tokens and of distinct ones."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", text.search_norm(F.col("text")).alias("norm"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(tasks(spark), "doc_id").select("doc_id", text.search_norm(F.col("text")).alias("norm"))
     rows = rows.withColumn("t", text.tokens(F.col("norm")))
     return rows.select("doc_id", F.md5(F.col("norm").cast("binary")).alias("norm_md5"), F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"))
 

@@ -51,3 +51,11 @@ def test_clean_and_search_norm(spark):
 def test_noise_terms(spark, terms, want):
     df = spark.createDataFrame([("akcio uj termek bor akcio 0,75 l",)], "s string")
     assert df.select(text.strip_noise(F.col("s"), terms)).first()[0] == want
+
+
+def test_long_texts_take_time_by_their_length(spark):
+    import time
+
+    rows = spark.createDataFrame([("a" * 3_000_000 + "… –ﬁ",)], "t string").select(text.search_norm(F.col("t")).alias("n"))
+    begun = time.monotonic()
+    assert rows.first()["n"] == "a" * 3_000_000 + "... fi" and time.monotonic() - begun < 15
