@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import text
+from larkspur.shared import tasks, written
 from larkspur.sources import shop_names
 
 # Slots in the order in which they win among phrases of one length, and how years and measures are written.
@@ -97,7 +98,9 @@ def parse_names(names: DataFrame, vocabulary: DataFrame, *, name: str = "title",
     results = ("tokens", "producer", "vineyard", "region", "style", "grapes", "vintage", "expression", "matches", "ambiguous")
     given = F.col(f"`{scope}`").cast("string") if scope else F.lit(None).cast("string")
     rows = names.withColumns({"_name": F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("")), "_scope": F.coalesce(given, F.lit(""))})
-    once = rows.select("_name", "_scope").distinct().withColumn("tokens", name_tokens(F.col("_name")))
+    spark = names.sparkSession
+    distinct = rows.select("_name", "_scope").distinct().repartition(tasks(spark), "_name", "_scope")
+    once = written(distinct.withColumn("tokens", name_tokens(F.col("_name"))), "names")
     rank = F.array_position(F.array(*map(F.lit, SLOTS)), F.col("slot"))
     known = vocabulary.select("id", "slot", "canonical_name", "via_alias", "producer_id", "phrase", name_tokens(F.col("phrase")).alias("_tokens"))
     found = occurrences(once, "tokens", known, "_tokens")
@@ -116,7 +119,7 @@ def parse_names(names: DataFrame, vocabulary: DataFrame, *, name: str = "title",
         F.get(F.filter(t, lambda x: x.rlike(YEAR)), F.lit(0)).cast("int").alias("vintage"), F.nullif(F.array_join(F.transform(left, lambda x: x["x"]), " "), F.lit("")).alias("expression"),
         F.array_sort("_s.matches").alias("matches"), F.col("_s.ambiguous").alias("ambiguous"),
     )
-    return rows.drop(*results).join(out, ["_name", "_scope"]).drop("_name", "_scope")
+    return rows.drop(*results).join(written(out, "read"), ["_name", "_scope"]).drop("_name", "_scope")
 
 
 def parse_wine_name(spark: SparkSession, sf_dir: str) -> DataFrame:
