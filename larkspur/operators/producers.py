@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text
 from larkspur.operators.vocabulary import PHRASES_SQL, TITLES_SQL, WALK_SQL, parse_names
+from larkspur.shared import tasks, written
 from larkspur.sources import shop_names
 
 # Words that begin a producer's name, or end it, in mining.
@@ -101,18 +102,22 @@ def mine_producers(rows: DataFrame, *, shop: str = "shop_id", name: str = "title
     shops or has a marker in some row. Examples are the first EXAMPLES names in code-point order. Ranks are by score, count, name.
     Null residues count as empty; null shops are no shop. limit None returns all.
     """
-    kept = rows.select(F.col(f"`{shop}`").alias("shop"), F.col(f"`{name}`").alias("raw"), F.explode(candidate_names(F.filter(F.coalesce(F.col(f"`{residue}`"), F.array().cast("array<string>")), lambda t: t != ""))).alias("c"))
-    kept = kept.select("shop", "raw", "c.*")
+    given = rows.select(F.col(f"`{shop}`").alias("shop"), F.col(f"`{name}`").alias("raw"), F.filter(F.coalesce(F.col(f"`{residue}`"), F.array().cast("array<string>")), lambda t: t != "").alias("residue"))
+    # each residue is taken apart once, however many rows have it
+    distinct = given.select("residue").distinct().repartition(tasks(rows.sparkSession), "residue")
+    mined = written(distinct.select("residue", candidate_names(F.col("residue")).alias("c")).where(F.size("c") > 0), "mined")
+    kept = given.join(mined, "residue").select("shop", F.explode("c").alias("c")).select("shop", "c.*")
     by_shop = kept.groupBy("name", "shop").agg(F.count("*").alias("n"), F.sum(F.col("leading").cast("long")).alias("leading"), F.max("marker").alias("marker"))
     counted = by_shop.groupBy("name").agg(F.sum("n").alias("count"), F.count("shop").alias("shops"), F.sum("leading").alias("leading"), F.max("marker").alias("has_marker"))
     counted = counted.where((F.col("count") >= least_count) & (F.col("has_marker") | (F.col("shops") >= least_shops)))
     person = is_person(F.col("name"))
     score = F.when(F.col("has_marker"), 5).otherwise(0) + F.least("shops", F.lit(5)) * 1.5 + F.log10(F.col("count") + 1) * 1.5 + F.col("leading") / F.col("count") * 2 + F.when(person, 1.5).otherwise(0)
-    scored = counted.withColumns({"person_name": person, "score": F.floor(score * 100 + 0.5) / 100})
+    scored = written(counted.withColumns({"person_name": person, "score": F.floor(score * 100 + 0.5) / 100}), "scored")
     left = scored.join(within_others(scored), "name", "left_anti")
     if limit is not None:
-        left = left.orderBy(F.desc("score"), F.desc("count"), "name").limit(limit)
-    seen = kept.join(left.select("name"), "name", "left_semi").select("name", "raw").distinct()
+        left = written(left.orderBy(F.desc("score"), F.desc("count"), "name").limit(limit), "best")
+    shown = given.select("raw", "residue").distinct().join(mined, "residue").select("raw", F.explode("c.name").alias("name"))
+    seen = shown.join(left.select("name"), "name", "left_semi").select("name", "raw").distinct()
     first = seen.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("raw"))).where(F.col("k") <= EXAMPLES)
     shown = first.groupBy("name").agg(F.sort_array(F.collect_list("raw")).alias("examples"))
     out = left.join(shown, "name", "left")
@@ -127,12 +132,20 @@ def merge_tokens(name: Column) -> Column:
 
 def merge_key(name: Column) -> Column:
     """The first token that says who the producer is, with the next one after a marker; empty if there is none."""
-    own = F.filter(merge_tokens(name), lambda t: ~t.isin(MERGE_SUFFIXES + LEGAL_FORMS + MERGE_WINE_WORDS) & ~t.rlike(NUMBER) & (F.length(t) > 1))
+    return _key(merge_tokens(name))
+
+
+def _key(tokens: Column) -> Column:
+    own = F.filter(tokens, lambda t: ~t.isin(MERGE_SUFFIXES + LEGAL_FORMS + MERGE_WINE_WORDS) & ~t.rlike(NUMBER) & (F.length(t) > 1))
     return F.when(F.size(own) == 0, "").when(F.get(own, F.lit(0)).isin(MERGE_PREFIXES), F.array_join(F.slice(own, F.lit(1), F.lit(2)), " ")).otherwise(F.get(own, F.lit(0)))
 
 
 def full_key(name: Column) -> Column:
-    return F.array_join(F.filter(merge_tokens(name), lambda t: ~t.isin(MERGE_SUFFIXES + LEGAL_FORMS) & ~t.rlike(NUMBER)), " ")
+    return _full(merge_tokens(name))
+
+
+def _full(tokens: Column) -> Column:
+    return F.array_join(F.filter(tokens, lambda t: ~t.isin(MERGE_SUFFIXES + LEGAL_FORMS) & ~t.rlike(NUMBER)), " ")
 
 
 def extra_kind(extra: Column) -> Column:
@@ -150,10 +163,12 @@ def merge_groups(producers: DataFrame) -> DataFrame:
     greatest score, then the least id. Nulls count as 0 and false.
     """
     c = F.col
-    rows = producers.where("status IS NULL OR status NOT IN ('merged', 'retired')").select(
+    named = producers.where("status IS NULL OR status NOT IN ('merged', 'retired')").repartition(tasks(producers.sparkSession))
+    read = named.withColumn("tokens", merge_tokens(c("canonical_name"))).select(
         "id", "status", F.coalesce("linked_listings", F.lit(0)).alias("linked"), F.coalesce("candidate_score", F.lit(0.0)).alias("candidate_score"),
-        (F.coalesce("person_name", F.lit(False)) | F.coalesce("fuzzy_blocked", F.lit(False))).alias("person"), merge_tokens(c("canonical_name")).alias("tokens"), merge_key(c("canonical_name")).alias("key"), full_key(c("canonical_name")).alias("full"),
-    ).where("key <> ''")
+        (F.coalesce("person_name", F.lit(False)) | F.coalesce("fuzzy_blocked", F.lit(False))).alias("person"), "tokens", _key(c("tokens")).alias("key"), _full(c("tokens")).alias("full"),
+    )
+    rows = written(read, "producers").where("key <> ''")  # names are read once, not for each aggregate and join
     active = F.coalesce(c("status") == "active", F.lit(False))
     survivor = F.min(F.struct((~active).alias("a"), (-c("linked")).alias("b"), F.size("tokens").alias("n"), (-c("candidate_score")).alias("s"), "id"))
     groups = rows.groupBy("key").agg(

@@ -94,3 +94,35 @@ def test_survivor_order(spark):
     assert grouped(spark, ("1", "Bock Pince", "candidate", 1), ("2", "Bock", "candidate", 1))["1"]["keep_id"] == "2"
     assert grouped(spark, ("1", "Bock", "candidate", 1, 1.0), ("2", "Bock", "candidate", 1, 2.0))["1"]["keep_id"] == "2"
     assert grouped(spark, ("2", "Bock"), ("1", "Bock"))["1"]["keep_id"] == "1"
+
+
+def recorded(monkeypatch, module):
+    counts, write = {}, module.written
+
+    def count(df, name):
+        out = write(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(module, "written", count)
+    return counts
+
+
+def test_residues_are_taken_apart_once(spark, monkeypatch):
+    counts = recorded(monkeypatch, producers)
+    got = mined(spark, everywhere("sauska egy", "sauska ketto", shops=50))
+    assert counts["mined"] == 2 and got["sauska"]["count"] == 100 and got["sauska"]["shops"] == 50
+
+
+def test_merged_names_are_read_once(spark, monkeypatch):
+    counts = recorded(monkeypatch, producers)
+    assert len(grouped(spark, ("1", "Bock"), ("2", "Bock Pince"), ("3", "Pince"))) == 2 and counts == {"producers": 3}
+
+
+def test_names_are_read_once(spark, monkeypatch):
+    from larkspur.operators import vocabulary
+    from larkspur.sources import shop_names
+
+    counts = recorded(monkeypatch, vocabulary)
+    names = spark.createDataFrame([("Bock 2019",)] * 30 + [(None,)], "title string")
+    assert vocabulary.parse_names(names, spark.createDataFrame([], shop_names.VOCABULARY)).count() == 31 and counts == {"names": 2, "read": 2}
