@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import money, text, web
+from larkspur.shared import tasks, written
 from larkspur.sources.star import OFFERS_SQL, latest_offers
 
 # Elements that show prices, in the order in which they count, and the words of their attributes.
@@ -55,24 +56,38 @@ def _norm(shown: Column) -> Column:
     return F.regexp_replace(F.lower(text.deaccent(shown)), "[^a-z0-9%.,]+", " ")
 
 
-def price_elements(html: Column) -> Column:
-    """Structs (place, tag, classes, inner, before, after) of the elements that may show a price."""
-    parts = F.split(html, r"(?=<)|(?<=>)")
-    named = lambda t: F.lower(F.concat_ws(" ", *[_attribute(t, a) for a in ("class", "id", "itemprop", "data-price-type")]))
-    opening = F.filter(F.transform(parts, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: x.t.rlike(rf"(?i)^<({'|'.join(ELEMENTS)})\b[^>]*>$") & named(x.t).rlike(PRICE_CLASS))
+def page_marks(parts: Column) -> tuple[Column, Column]:
+    """Of a page cut at its tags: structs (i, t) of the tags that may open a price, and structs (i, tag) of all closing ones."""
+    at = lambda keep: F.filter(F.transform(parts, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: keep(x.t))
+    opening = at(lambda t: t.rlike(rf"(?i)^<({'|'.join(ELEMENTS)})\b[^>]*>$") & _named(t).rlike(PRICE_CLASS))
+    closing = F.transform(at(lambda t: F.lower(t).rlike(r"^</[a-z]+\s*>$")), lambda x: F.struct(x.i.alias("i"), F.regexp_extract(F.lower(x.t), "^</([a-z]+)", 1).alias("tag")))
+    return opening, closing
 
-    def cut(x: Column) -> Column:  # nothing is cut but the elements that passed
-        tag = F.lower(F.regexp_extract(x.t, "^<([A-Za-z]+)", 1))
-        rest = F.slice(parts, x.i + 2, F.size(parts))
-        ends = F.filter(F.transform(rest, lambda t, k: F.when(F.lower(t).rlike(r"^</[a-z]+\s*>$") & (F.regexp_extract(F.lower(t), "^</([a-z]+)", 1) == tag), k)), lambda k: k.isNotNull())
-        end = F.coalesce(F.get(ends, F.lit(0)), F.size(rest))
-        before, after = F.right(F.array_join(F.slice(parts, F.lit(1), x.i), ""), F.lit(AROUND)), F.left(F.array_join(F.slice(rest, end + 2, F.size(rest)), ""), F.lit(AROUND))
-        return F.struct(
-            x.i.alias("place"), tag.alias("tag"), named(x.t).alias("classes"), F.array_join(F.slice(rest, F.lit(1), end), "").alias("inner"),
-            F.regexp_replace(before, rf"(?is)^.*</?(?:{BLOCKS})\b[^>]*>", "").alias("before"), F.regexp_extract(after, rf"(?is)^(.*?)(?:</?(?:{BLOCKS})\b[^>]*>|\z)", 1).alias("after"),
-        )
 
-    return F.transform(opening, cut)
+def _named(tag: Column) -> Column:
+    return F.lower(F.concat_ws(" ", *[_attribute(tag, a) for a in ("class", "id", "itemprop", "data-price-type")]))
+
+
+def price_elements(pages: DataFrame) -> DataFrame:
+    """pages with place, tag, classes, inner, before and after of each element that may show a price, of the column html.
+
+    A page is cut once. What is looked at around an element is made of the parts next to it: each part has a character at least.
+    """
+    c, kept = F.col, [x for x in pages.columns if x != "html"]
+    cut = _once(pages, parts=F.split("html", r"(?=<)|(?<=>)"))
+    opening, closing = page_marks(c("parts"))
+    cut = _once(cut.select(*kept, "parts", opening.alias("opening"), closing.alias("closing"))).where(F.size("opening") > 0)
+    found = cut.select(*kept, "parts", "closing", F.explode("opening").alias("x"))
+    found = _once(found.select(*kept, "parts", "closing", c("x.i").alias("place"), c("x.t").alias("t")), tag=F.lower(F.regexp_extract("t", "^<([A-Za-z]+)", 1)))
+    end = F.coalesce(F.get(F.filter("closing", lambda k: (k.i > c("place")) & (k.tag == c("tag"))), F.lit(0)).i, F.size("parts"))
+    found = _once(found, end=end)
+    joined = lambda start, n: F.array_join(F.slice("parts", start, n), "")
+    first = F.greatest(c("place") - AROUND, F.lit(0))
+    before, after = F.right(joined(first + 1, c("place") - first), F.lit(AROUND)), F.left(joined(c("end") + 2, F.lit(AROUND)), F.lit(AROUND))
+    return found.select(
+        *kept, "place", "tag", _named(c("t")).alias("classes"), joined(c("place") + 2, c("end") - c("place") - 1).alias("inner"),
+        F.regexp_replace(before, rf"(?is)^.*</?(?:{BLOCKS})\b[^>]*>", "").alias("before"), F.regexp_extract(after, rf"(?is)^(.*?)(?:</?(?:{BLOCKS})\b[^>]*>|\z)", 1).alias("after"),
+    )
 
 
 def first_price(shown: Column) -> Column:
@@ -130,7 +145,10 @@ def extract_prices(pages: DataFrame, *, page_id: str = "page_id", html: str = "h
     page; null pages have no prices. Columns other than these are left out.
     """
     rows = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("html"))
-    found = rows.select("page_id", F.explode(price_elements(F.col("html"))).alias("e")).select("page_id", "e.*")
+    # texts are read once, however many pages have them; their numbers are in the order of the texts
+    texts = written(rows.select("html").distinct().orderBy("html").withColumn("text_id", F.monotonically_increasing_id()), "texts")
+    read = texts.repartition(tasks(pages.sparkSession), "text_id")
+    found = price_elements(read)
     found = _once(found, shown=_strip(F.col("inner"))).where((F.length("shown") <= LONGEST) & F.col("shown").rlike(PRICE))
     found = _once(found, digits=F.regexp_extract("shown", PRICE, 1))
     before = F.right(F.regexp_replace(_strip(F.col("before")), rf"(?is)^.*{NUMBER}\s*(?:Ft|HUF|forint)\b", ""), F.lit(BEFORE))
@@ -141,18 +159,20 @@ def extract_prices(pages: DataFrame, *, page_id: str = "page_id", html: str = "h
     for name, pattern in reversed(KINDS):
         kind = F.when(context.rlike(pattern), name).otherwise(kind)
     order = F.struct(F.array_position(F.array(*map(F.lit, ELEMENTS)), F.col("tag")).alias("t"), "place").alias("order")
-    judged = _once(found, kind=kind).select("page_id", "kind", order, "value", F.when(context.rlike(r"(?i)/\s*l\b|liter"), "liter").otherwise("piece").alias("basis"))
+    judged = _once(found, kind=kind).select("text_id", "kind", order, "value", F.when(context.rlike(r"(?i)/\s*l\b|liter"), "liter").otherwise("piece").alias("basis"))
     first = lambda k: F.min(F.when(F.col("kind") == k, F.struct("order", "value", "basis"))).alias(k)
-    shown = judged.groupBy("page_id").agg(*[first(k) for k in ("current", "member", "coupon", "quantity", "unit", "deposit")], F.max(F.when(F.col("kind") == "regular", F.col("value"))).alias("regular"), F.lit(True).alias("has_elements"))
+    kinds = ("current", "member", "coupon", "quantity", "unit", "deposit")
+    shown = judged.groupBy("text_id").agg(*[first(k) for k in kinds], F.max(F.when(F.col("kind") == "regular", F.col("value"))).alias("regular"), F.lit(True).alias("has_elements"))
     c = F.col
-    once = rows.groupBy("page_id").agg(F.min("html").alias("html"))
-    both = once.join(shown.withColumnRenamed("page_id", "_of"), c("page_id").eqNullSafe(c("_of")), "left")
-    pair = c("has_elements") & (F.size(web.blocks(c("html"), "ins")) > 0) & (F.size(web.blocks(c("html"), "del")) > 0)
-    plain = plain_price(c("html"))
-    both = both.withColumns({
-        "dom": F.when(c("has_elements"), F.coalesce(F.when(pair, _pair(c("html"), "ins")), c("current.value"))).otherwise(plain.value),
-        "dom_regular": F.coalesce(F.when(pair, _pair(c("html"), "del")), c("regular")), "s": structured_price(c("html")), "m": meta_price(c("html")),
-    })
+    ins, deleted = web.blocks(c("html"), "ins"), web.blocks(c("html"), "del")
+    pair = (F.size(ins) > 0) & (F.size(deleted) > 0)
+    one = read.join(shown, "text_id", "left").select(
+        "text_id", *kinds, "regular", "has_elements", F.when(pair, _pair(c("html"), "ins")).alias("ins"), F.when(pair, _pair(c("html"), "del")).alias("del"),
+        F.when(c("has_elements").isNull(), plain_price(c("html")).value).alias("plain"), structured_price(c("html")).alias("s"), meta_price(c("html")).alias("m"),
+    )
+    own = rows.join(texts, "html").select("page_id", "text_id").join(written(one, "prices"), "text_id")
+    own = own.groupBy("page_id").agg(*[F.min(k).alias(k) for k in kinds], F.max("regular").alias("regular"), F.max("has_elements").alias("has_elements"), F.min(F.struct("text_id", "ins", "del", "plain", "s", "m")).alias("f"))
+    both = own.select("page_id", *kinds, "f.s", "f.m", F.when(c("has_elements"), F.coalesce("f.ins", "current.value")).otherwise(c("f.plain")).alias("dom"), F.coalesce(F.when(c("has_elements"), c("f.del")), c("regular")).alias("dom_regular"))
     current = F.coalesce("s.price", "m", "dom")
     method = F.when(c("s.price").isNotNull(), "jsonld").when(c("m").isNotNull(), "meta").when(c("dom").isNotNull(), "dom")
     far = F.abs(c("dom") - current) > F.greatest(F.lit(50.0), current * 0.02)

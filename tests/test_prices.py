@@ -51,3 +51,18 @@ def test_edges(spark):
     out = prices.extract_prices(spark.createDataFrame(rows, "page_id int, html string, current int"))
     assert sorted(((r["page_id"], r["current"]) for r in out.collect()), key=repr) == [(1, None), (2, 1500), (None, 900)]
     assert prices.extract_prices(spark.createDataFrame([], "page_id int, html string")).count() == 0
+
+
+def test_texts_are_read_once(spark, monkeypatch):
+    counts, write = {}, prices.written
+
+    def count(df, name):
+        out = write(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(prices, "written", count)
+    rows = [(i, '<span class="price">900 Ft</span>') for i in range(40)] + [(99, "<p>800 Ft</p>"), (99, '<span class="price">700 Ft</span>')]
+    out = prices.extract_prices(spark.createDataFrame(rows, "page_id int, html string")).collect()
+    assert {r["current"] for r in out if r["page_id"] < 40} == {900} and [r["current"] for r in out if r["page_id"] == 99] == [700]
+    assert len(out) == 41 and counts["texts"] == 3
