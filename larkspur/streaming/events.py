@@ -7,22 +7,25 @@ and a reader takes the latest row of each key.
 
 from __future__ import annotations
 
-import bisect
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from larkspur.shared import shared_dir
+from larkspur.shared import shared_dir, tasks
 
 SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 #: Events later than this behind the latest one are dropped from windows and de-duplication.
 DELAY, WINDOW = "1 hour", "6 hours"
 #: A key's state is kept so long after its last row; LONG_DAYS is longer than a log.
 EXPIRE_HOURS, LONG_DAYS = 24 * 400, 400
+#: Users share the state of their group, as the function of a state is called once a group and batch. The queries take more groups and
+#: files for a longer log: about so many rows of the log for a group, and for a file.
+GROUPS, GROUP_ROWS, FILE_ROWS = 256, 5_000, 100_000
 
 
 def folder(spark: SparkSession) -> str:
@@ -48,61 +51,88 @@ def windowed(events: DataFrame) -> DataFrame:
 
 
 _CHANGE = "user_id bigint, event_id bigint, old_price double, new_price double, kind string"
-_STATE = "last double, seen bigint, at array<bigint>, id array<bigint>, price array<double>"
+#: A group's state: the last row that was taken of each user, and the rows that the watermark hasn't passed yet, both as _ROW.
+_STATE = "last binary, waiting binary"
+_ROW = np.dtype([("user_id", "<i8"), ("at", "<i8"), ("event_id", "<i8"), ("value", "<f8")])
+#: Stands for a missing event id, and is last in order as that is.
+_NO_ID = (1 << 63) - 1
 
 
 def _in_order(expire: int):
-    """The function of a key's state: its last price, and the rows that the watermark hasn't passed yet."""
+    """The function of a group's state: takes each user's rows that the watermark has passed, in order of time and id."""
+
+    def told(rows: np.ndarray, old: np.ndarray | float, kind: str) -> pd.DataFrame:
+        return pd.DataFrame({"user_id": rows["user_id"], "event_id": rows["event_id"], "old_price": old, "new_price": rows["value"], "kind": kind})
 
     def changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         watermark = state.getCurrentWatermarkMs() * 1000
-        last, seen, *lists = state.get if state.exists else (None, 0, [], [], [])
-        if state.hasTimedOut and not lists[0] and seen < watermark - expire:
-            state.remove()  # nothing came for so long that the key is forgotten
-            return
-        waiting, out = list(zip(*lists, strict=True)), []
+        last, waiting = [np.frombuffer(b, _ROW) for b in state.get] if state.exists else [np.empty(0, _ROW)] * 2
         if not state.hasTimedOut:
+            came = [np.empty(0, _ROW)]
             for rows in batches:
-                for row in zip(rows["at"].tolist(), rows["event_id"].tolist(), rows["value"].tolist(), strict=True):
-                    if row[0] < watermark:
-                        out.append((key[0], row[1], None, row[2], "late"))
-                    else:
-                        waiting.append(row)
-        waiting.sort()
-        passed = bisect.bisect_left(waiting, (watermark,))
-        for at, event, price in waiting[:passed]:
-            if last is None or price != last or at - seen > expire:
-                out.append((key[0], event, None if at - seen > expire else last, price, "change"))
-            last, seen = price, at
-        waiting = waiting[passed:]
-        state.update((last, seen, *([r[i] for r in waiting] for i in range(3))))
-        wake = waiting[0][0] if waiting else max(seen, watermark) + expire
-        state.setTimeoutTimestamp(max(wake, watermark) // 1000 + 1)
-        if out:
-            yield pd.DataFrame(out, columns=["user_id", "event_id", "old_price", "new_price", "kind"]).astype({"old_price": "float64", "new_price": "float64"})
+                came.append(np.empty(len(rows), _ROW))
+                for name in _ROW.names:
+                    came[-1][name] = rows[name].to_numpy()
+            came = np.concatenate(came)
+            late = came["at"] < watermark
+            if late.any():
+                yield told(came[late], np.nan, "late")
+            waiting = np.concatenate([waiting, came[~late]])
+        passed = waiting["at"] < watermark
+        if passed.any():
+            # a user's last row is earlier than all that waited when it was taken
+            rows = np.concatenate([last, waiting[passed]])
+            order = np.lexsort((rows["value"], rows["event_id"], rows["at"], rows["user_id"]))
+            rows, new = rows[order], order >= len(last)
+            follows = rows["user_id"][1:] == rows["user_id"][:-1]
+            known, before = np.zeros(len(rows), bool), np.full(len(rows), np.nan)
+            known[1:] = follows & (rows["at"][1:] - rows["at"][:-1] <= expire)
+            before[1:] = rows["value"][:-1]
+            change = new & (~known | (rows["value"] != before))
+            if change.any():
+                yield told(rows[change], np.where(known, before, np.nan)[change], "change")
+            last, waiting = rows[np.append(~follows, True)], waiting[~passed]
+        last = last[last["at"] >= watermark - expire]  # users of whom nothing came for so long are forgotten
+        if len(last) or len(waiting):
+            state.update((last.tobytes(), waiting.tobytes()))
+            wake = int(waiting["at"].min() if len(waiting) else last["at"].max() + expire)
+            state.setTimeoutTimestamp(max(wake, watermark) // 1000 + 1)
+        elif state.exists:
+            state.remove()
 
     return changes
 
 
-def price_changes(events: DataFrame, delay: str = DELAY, expire_hours: int = EXPIRE_HOURS) -> DataFrame:
+def price_changes(events: DataFrame, delay: str = DELAY, expire_hours: int = EXPIRE_HOURS, groups: int = GROUPS) -> DataFrame:
     """user_id, event_id, old_price, new_price and kind: change, or late for rows that came after the watermark had passed them.
 
-    Rows wait in their key's state until the watermark, `delay` behind the latest event, has passed them, and are taken in order
-    of time and id, so files may come in any order and be split in any way; a timer takes them when no row of the key follows. A key's
+    Rows wait in their group's state until the watermark, `delay` behind the latest event, has passed them, and are taken in order
+    of time and id, so files may come in any order and be split in any way; a timer takes them when no row of the group follows. A user's
     first price has no old one. Late rows change nothing and are returned to be counted. A price that comes more than expire_hours
-    after the one before is a first one again, whether or not a timer has removed the key's state.
+    after the one before is a first one again, whether or not a timer has removed the user's state. Rows without a time are never passed.
+    `groups` divides the users by a hash, and must stay the same for a checkpoint; each group's waiting rows should fit into memory easily.
     """
-    # a row for the clock and one for its key; without a time of its own the latter isn't dropped before it can be counted
+    # a row for the clock and one for its group; without a time of its own the latter isn't dropped before it can be counted
     kept = F.col("value").isNotNull() & F.col("user_id").isNotNull()
-    both = events.select("user_id", "event_id", F.unix_micros("at").alias("at"), "value", F.explode(F.array(F.col("at"), F.when(kept, F.lit(None)).otherwise(F.col("at")))).alias("clock"))
-    rows = both.withWatermark("clock", delay).where("clock IS NULL")
-    return rows.groupBy("user_id").applyInPandasWithState(_in_order(expire_hours * 3_600_000_000), _CHANGE, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    event = F.coalesce("event_id", F.lit(_NO_ID)).alias("event_id")
+    group = F.pmod(F.xxhash64("user_id"), F.lit(groups)).alias("grp")
+    both = events.select(group, "user_id", event, F.unix_micros("at").alias("at"), "value", F.explode(F.array(F.col("at"), F.when(kept, F.lit(None)).otherwise(F.col("at")))).alias("clock"))
+    rows = both.withWatermark("clock", delay).where("clock IS NULL AND at IS NOT NULL")
+    out = rows.groupBy("grp").applyInPandasWithState(_in_order(expire_hours * 3_600_000_000), _CHANGE, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return out.withColumn("event_id", F.nullif("event_id", F.lit(_NO_ID)))
+
 
+def dealt(rows: DataFrame, where: str, part: Column, parts: int, delay_hours: int, files: int = 1) -> str:
+    """Writes rows as files that come one after another, part by part, and a last one that moves the watermark past all.
 
-def dealt(rows: DataFrame, where: str, part: Column, parts: int, delay_hours: int) -> str:
-    """Writes rows as files that come one after another, part by part, and a last one that moves the watermark past all."""
+    Each part is exactly so many files, some of them empty where it has few rows, so that a stream of so many files a batch meets it as one.
+    """
+    spark = rows.sparkSession
     for k in range(parts):
-        rows.where(part == k).coalesce(1).write.mode("append").parquet(where)
+        rows.where(part == k).repartition(files).write.mode("append").parquet(where)
+        there = len(spark.read.schema(rows.schema).parquet(where).inputFiles())
+        for _ in range((k + 1) * files - there):
+            spark.createDataFrame([], rows.schema).write.mode("append").parquet(where)
     end = rows.select(F.lit(-1).cast("long").alias("event_id"), "ts").groupBy("event_id").agg(F.max("ts").alias("ts"))
     names = {"user_id": "bigint", "event_type": "string", "value": "double", "props": "string"}
     end = end.select("event_id", (F.col("ts") + F.expr(f"INTERVAL {2 * delay_hours} HOURS")).alias("ts"), *[F.lit(None).cast(t).alias(n) for n, t in names.items()])
@@ -145,10 +175,19 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(f"{sf_dir}/events.parquet")
 
 
+def _replayed(spark: SparkSession, sf_dir: str, part: Column, parts: int, delay_hours: int) -> DataFrame:
+    """The price changes of the log, dealt to so many parts that come as a micro-batch each."""
+    rows = _rows(spark, sf_dir)
+    n = rows.count()
+    files = max(1, min(tasks(spark), n // (parts * FILE_ROWS)))
+    log = dealt(rows, f"{folder(spark)}/log", part, parts, delay_hours, files)
+    changes = price_changes(read_events(spark, log, files), f"{delay_hours} hours", 24 * LONG_DAYS, max(GROUPS, n // GROUP_ROWS))
+    return run(changes, "append", ["user_id", "event_id"])
+
+
 def stream_price_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log dealt at random to four files, so that each covers all times; the delay covers the log."""
-    log = dealt(_rows(spark, sf_dir), f"{folder(spark)}/log", F.pmod(F.hash("event_id"), F.lit(4)), 4, 24 * LONG_DAYS)
-    out = run(price_changes(read_events(spark, log, 1), f"{LONG_DAYS} days"), "append", ["user_id", "event_id"])
+    """The log dealt at random to four parts, so that each covers all times; the delay covers the log."""
+    out = _replayed(spark, sf_dir, F.pmod(F.hash("event_id"), F.lit(4)), 4, 24 * LONG_DAYS)
     return out.where("kind = 'change'").drop("kind")
 
 

@@ -72,3 +72,20 @@ def test_windows_over_micro_batches(spark, split):
     log, at = split
     got = events.run(events.windowed(events.read_events(spark, log, 1)), "update", ["start", "event_type"], f"{at}/windows")
     assert sorted(map(str, got.collect())) == sorted(map(str, events.stream_windows(spark, SF).collect()))
+
+
+@pytest.mark.parametrize("part", ["pmod(event_id, 2)", "int(event_id = 3)"])
+def test_a_part_of_many_files_is_one_batch_and_users_share_states(spark, tmp_path, part):
+    rows = spark.read.parquet(f"{SF}/events.parquet").withColumn("event_id", F.expr("if(event_id = 7, null, event_id)"))
+    first = rows.withColumn("p", F.expr(f"coalesce({part}, 0)")).collect()
+    log = events.dealt(rows, f"{tmp_path}/log", F.expr(f"coalesce({part}, 0)"), 2, 1, files=4)
+    assert len(list((tmp_path / "log").glob("*.parquet"))) == 9
+    out = events.run(events.price_changes(events.read_events(spark, log, 4), groups=3), "append", [], f"{tmp_path}/run")
+    edge = max(r["ts"] for r in first if r["p"] == 0) - datetime.timedelta(hours=1)
+    edge = edge.replace(microsecond=edge.microsecond // 1000 * 1000)
+    late = [r for r in first if r["p"] == 1 and r["ts"] < edge]
+    assert {x[1] for x in told(out, "late")} == {r["event_id"] for r in late} and late
+    kept = [{**r.asDict(), "event_id": 1 << 62 if r["event_id"] is None else r["event_id"]} for r in first if r not in late]
+    assert {(u, 1 << 62 if e is None else e, old, new) for u, e, old, new in told(out)} == batch(kept)
+    # a row of state for each group, not for each user
+    assert 0 < spark.read.format("statestore").load(f"{tmp_path}/run/checkpoint").count() <= 3
