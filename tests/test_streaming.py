@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.streaming import events
+from tests.oracle import differs
 
 SF = "/root/testdata/sf0.001"
 
@@ -89,3 +90,13 @@ def test_a_part_of_many_files_is_one_batch_and_users_share_states(spark, tmp_pat
     assert {(u, 1 << 62 if e is None else e, old, new) for u, e, old, new in told(out)} == batch(kept)
     # a row of state for each group, not for each user
     assert 0 < spark.read.format("statestore").load(f"{tmp_path}/run/checkpoint").count() <= 3
+
+
+@pytest.mark.parametrize("name", ["stream_late_rows", "stream_price_changes"])
+def test_longer_logs_are_dealt_to_more_files_with_the_same_result(spark, monkeypatch, name):
+    made, dealt = [], events.dealt
+    monkeypatch.setattr(events, "FILE_ROWS", 100)
+    monkeypatch.setattr(events, "GROUPS", 2)
+    monkeypatch.setattr(events, "dealt", lambda *a: made.append(dealt(*a)) or made[-1])
+    assert differs(events.QUERIES[name](spark, SF), events.ORACLES[name], SF) == ""
+    assert len(spark.read.schema(events.SCHEMA).parquet(made[0]).inputFiles()) > 8
