@@ -144,3 +144,26 @@ def test_ids_of_any_type_and_a_divided_context(spark, monkeypatch):
     docs = spark.createDataFrame([(f"d{i}", "the cat the dog the bird the cow " * 5) for i in range(4)] + [("long", "x" * 300_000)], "name string, text string")
     out = {r["doc_id"]: r for r in hpylm.score_documents(docs, F.lit(False), doc_id="name").collect()}
     assert set(out) == {"d0", "d1", "d2", "d3", "long"} and all(r["score"] < 0 for r in out.values())
+
+
+@pytest.mark.parametrize(("c", "t", "others", "p"), [(200, 1, 3, 0.3), (400, 200, 5, 0.01), (1000, 400, 5, 0.001)])
+def test_a_sweep_takes_out_all_customers_of_a_cell(c, t, others, p):
+    """As taking out one customer after another, by chains of tables: exact chances of each number of tables after c steps."""
+    d, n = 0.6, 4000
+    chance = np.zeros(c + 2)
+    chance[t] = 1.0
+    tables = np.arange(c + 2)
+    leaves = hpylm.leaves_alone(np.full(c + 1, c), tables[:-1], d)
+    leaves[0] = 0
+    new = (hpylm.STRENGTH + d * (others + tables)) * p
+    opens = new / (new + np.maximum(c - 1 - d * tables, 0))
+    for _ in range(c):
+        gone = np.append(chance[1:], 0) * np.append(np.append(leaves, 0)[1:], 0)
+        now = gone + chance * (1 - np.append(leaves, 0))
+        chance = now * (1 - opens) + np.append(0, (now * opens)[:-1])
+    mean = float((chance * tables).sum())
+    spread = float((chance * tables**2).sum() - mean**2) ** 0.5
+    level = hpylm.Level(np.full(n, c), np.full(n, t), np.zeros(n, np.int64), 1, hpylm.mix(np.uint64(3), np.arange(n).astype(np.uint64)), d)
+    level.sweep(np.full(n, p), 5, np.full(n, others))
+    assert abs(level.t.mean() - mean) < 5 * spread / n**0.5
+    assert abs(level.t.std() - spread) < 0.1 * spread
